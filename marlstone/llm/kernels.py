@@ -95,29 +95,24 @@ def lower_table() -> np.ndarray:
     return t
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every maximal run of word bytes, and offsets of each text's words.
-
-    in_word: for each byte value whether it belongs to words. Words never span two texts.
-    """
+def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of bytes of one non-zero kind; no run spans two texts."""
     n = len(data)
     if not n:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    if lower:
-        data = lower_table()[data]
-    inside = in_word[data]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    edge = offsets[:-1][offsets[:-1] < n]
-    start[edge] = inside[edge]
-    starts = np.flatnonzero(start)
-    end = inside.copy()
-    end[:-1] &= ~inside[1:]
-    last = offsets[1:][offsets[1:] > 0] - 1
-    end[last] = inside[last]
-    ends = np.flatnonzero(end) + 1
-    rolling = Rolling(data)
-    return rolling.at(starts, ends), np.searchsorted(starts, offsets)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k = kind[data]
+    change = np.ones(n + 1, bool)
+    np.not_equal(k[1:], k[:-1], out=change[1:n])
+    change[offsets] = True
+    edges = np.flatnonzero(change)
+    inside = k[edges[:-1]] != 0
+    return edges[:-1][inside], edges[1:][inside]
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word, A-Z as a-z, and the offsets of each text's words."""
+    starts, ends = word_spans(data, offsets, kind)
+    return Rolling(lower_table()[data]).at(starts, ends), np.searchsorted(starts, offsets)
 
 
 def combine(words: np.ndarray, n: int) -> np.ndarray:
@@ -142,9 +137,11 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-ASCII_SPACE = np.zeros(256, bool)
-ASCII_SPACE[[32, *range(9, 14)]] = True
-NOT_SPACE = ~ASCII_SPACE
-#: Digits, lower-case letters and all bytes of characters beyond ASCII.
-WORD_BYTES = np.zeros(256, bool)
-WORD_BYTES[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+#: Kinds of bytes for word_spans: all but ASCII white space; digits, letters and all beyond ASCII; these and
+#: runs of other visible characters as words of their own.
+NOT_SPACE = np.ones(256, np.uint8)
+NOT_SPACE[[32, *range(9, 14)]] = 0
+WORD_BYTES = np.zeros(256, np.uint8)
+WORD_BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+WORDS_AND_MARKS = np.where(WORD_BYTES == 1, 1, np.where(NOT_SPACE == 1, 2, 0)).astype(np.uint8)
+WORDS_AND_MARKS[:32] = 0

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marlstone.llm import op1, op9, url_tree
+from marlstone.llm import op1, op2, op9, url_tree
 
 QUERIES = {
     "op1_sentencepiece": op1.query,
+    "op2_decontamination": op2.query,
     "op9_fingerprints": op9.query,
     "op10_url_filters": url_tree.query,
 }
-ORACLES = {"op10_url_filters": url_tree.oracle()}
+ORACLES = {"op2_decontamination": op2.ORACLE, "op10_url_filters": url_tree.oracle()}
