@@ -28,7 +28,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 from marlstone.llm.common import add_columns
 
 MARK = "▁"
-CACHED_PARTS, CACHED_LENGTH = 200_000, 48
+CACHED_PARTS, CACHED_LENGTH, KNOWN_PAIRS = 500_000, 48, 400_000
 NORMAL, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 3, 4, 6, 5
 
 
@@ -55,10 +55,14 @@ class PieceModel:
             raise ValueError("pieces must start with their space marks, and their characters be pieces")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, (len(p), i))
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.shorter: dict[int, int | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: The longest piece that is a shorter prefix of a piece, or -1.
+        self.shorter = [next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), -1) for t in self.text]
+        self.fits: dict[int, bool] = {}
+        self.size = len(self.text)
+        self.width = [len(t) for t in self.text]
+        self.characters = known
         self.parts = _Parts(self)
         self.decoded = [(" " * len(t) if not t.strip(MARK) else t.replace(MARK, " ")) if k == NORMAL else "" if k == CONTROL else " ⁇ " for t, k in zip(self.text, self.kind, strict=True)]
 
@@ -75,47 +79,58 @@ class PieceModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """left -1: whether right alone stands for its text."""
-        known = self.fits.get((left, right))
+        key = (left + 1) * self.size + right
+        known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 1_000_000:
+            if len(self.fits) > KNOWN_PAIRS:
                 self.fits.clear()
             joined = self.text[right] if left < 0 else self.text[left] + self.text[right]
-            known = self.fits[left, right] = self.merged(joined) == ([right] if left < 0 else [left, right])
+            known = self.fits[key] = self.merged(joined) == ([right] if left < 0 else [left, right])
         return known
 
-    def shorter_prefix(self, piece: int) -> int | None:
-        if piece not in self.shorter:
-            text = self.text[piece]
-            self.shorter[piece] = next((self.ids[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.ids), None)
-        return self.shorter[piece]
-
     def known_run(self, text: str) -> list[int]:
-        """Encode a text all of whose characters are pieces."""
-        n = len(text)
-        longest, width = [-1] * n, [0] * n
-        for end, (size, piece) in self.automaton.iter(text):
-            at = end - size + 1
-            if size > width[at]:
-                longest[at], width[at] = piece, size
-        failed = bytearray(n // 8 + 1)
+        """Encode a text all of whose characters are pieces.
+
+        If the longest matches from left to right are compatible all along, they are the encoding.
+        """
+        out = [piece for _, piece in self.automaton.iter_long(text)]
+        left, known, size = 0, self.fits.get, self.size
+        for piece in out:
+            if not known(left * size + piece) and not self.compatible(left - 1, piece):
+                return self.backtracked(text, out)
+            left = piece + 1
+        return out
+
+    def backtracked(self, text: str, greedy: list[int]) -> list[int]:
+        """Go on where the longest matches stop being compatible."""
+        n, size, width, shorter, known = len(text), self.size, self.width, self.shorter, self.fits.get
+        longest = [-1] * (n + 1)
+        for end, piece in self.automaton.iter(text):  # by ascending ends: what stays is the longest
+            longest[end + 1 - width[piece]] = piece
+        failed = 0  # a bit for each position
         out: list[int] = []
-        at, piece = 0, longest[0]
+        at, left, piece = 0, 0, greedy[0]
         while at < n:
-            end = at + len(self.text[piece])
-            if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(out[-1] if out else -1, piece):
-                out.append(piece)
-                at = end
-                piece = longest[at] if at < n else -1
-            elif (prefix := self.shorter_prefix(piece)) is not None:
+            end = at + width[piece]
+            if not failed >> end & 1:
+                fits = known(left * size + piece)
+                if fits or fits is None and self.compatible(left - 1, piece):
+                    out.append(piece)
+                    at, left, piece = end, piece + 1, longest[end]
+                    continue
+            if (prefix := shorter[piece]) >= 0:
                 piece = prefix
             else:
-                failed[at >> 3] |= 1 << (at & 7)
+                failed |= 1 << at
                 piece = out.pop()
-                at -= len(self.text[piece])
+                at -= width[piece]
+                left = out[-1] + 1 if out else 0
         return out
 
     def part_ids(self, part: str) -> list[int]:
         """Encode a part; a character that no piece has becomes its bytes and separates what is around it."""
+        if self.characters.issuperset(part):
+            return self.known_run(part)
         out: list[int] = []
         run = 0
         for k, c in enumerate(part):
@@ -219,6 +234,8 @@ def decode(docs: DataFrame, model_file: str, ids: str = "ids", decoded: str = "d
 
     def compute(batch: pa.RecordBatch) -> list:
         model = _loaded(content)
-        return [pa.array([None if x is None else model.decode(x) for x in batch.column(ids).to_pylist()], pa.string())]
+        column = batch.column(ids)
+        values, ends, nulls = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.tolist(), column.is_null().to_pylist()
+        return [pa.array([None if none else model.decode(values[a:b]) for a, b, none in zip(ends, ends[1:], nulls, strict=False)], pa.string())]
 
     return add_columns(docs, [T.StructField(decoded, T.StringType())], compute)
