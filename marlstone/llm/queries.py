@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import op1, op2, op4, op6, op8, op9, url_tree
+from marlstone.llm import op1, op2, op4, op5, op6, op8, op9, url_tree
 
 QUERIES = {
     "op1_sentencepiece": op1.query,
     "op2_decontamination": op2.query,
     "op4_toxicity": op4.query,
+    "op5_suffix_dedup": op5.query,
     "op6_quality": op6.query,
     "op8_superminhash": op8.query,
     "op9_fingerprints": op9.query,
