@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(key, n_shingles, component_id, kept) of every row.
 
     Sets are linked if 100 * common >= percent * all shingles; component_id is the smallest key that links
-    reach, kept tells whether it is the row's own.
+    reach, kept tells whether it is the row's own. Rows without a key are kept where no linked one has one.
     """
     sketch = stored(sketches(docs, key, text, size))
     classes = sketch.filter("class is not null").groupBy("class").agg(F.min(key).alias("first"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
@@ -212,4 +212,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     of_class = named.join(names, "root").select("class", "component_id")
     out = sketch.drop("bands").join(of_class, "class", "left")
     component = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id"))
-    return out.select(key, "n_shingles", component.alias("component_id"), F.coalesce(F.col(key) == component, F.lit(False)).alias("kept"))
+    return out.select(key, "n_shingles", component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"))

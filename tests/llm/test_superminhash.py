@@ -36,7 +36,7 @@ def brute(rows, size, percent=80):
     for k, g in enumerate(group):
         if rows[k][0] is not None:
             names[g] = min(names.get(g, rows[k][0]), rows[k][0])
-    return sorted(((i, len(s), names.get(g), i is not None and i == names.get(g)) for (i, _), s, g in zip(rows, sets, group, strict=True)), key=str)
+    return sorted(((i, len(s), names.get(g), i == names.get(g)) for (i, _), s, g in zip(rows, sets, group, strict=True)), key=str)
 
 
 def run(spark, rows, size=4, parts=3):
