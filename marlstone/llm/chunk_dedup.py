@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, map_batches, stored, table, without
+from marlstone.llm.common import add_columns, map_batches, parts, stored, table, without
 from marlstone.llm.kernels import NOT_SPACE, U64, Rolling, mix, spread, text_bytes
 
 WINDOW, BITS, LEAST, MOST, RUN = 32, 5, 8, 256, 96
@@ -72,7 +72,7 @@ def chunks(docs: DataFrame, text: str) -> DataFrame:
     """CHUNKS of docs that have _k and _t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text):
             data, offsets = text_bytes(batch.column(text))
             cuts = boundaries(data, offsets)
             start, end = cuts[:-1], cuts[1:]

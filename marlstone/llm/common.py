@@ -13,7 +13,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,20 @@ def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[p
     return df.mapInArrow(run, schema)
 
 
+def parts(batches: Iterator[pa.RecordBatch], *texts: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut into such of about size bytes of text, or one longer row, for kernels that need many times that."""
+    for batch in batches:
+        length = np.zeros(len(batch), np.int64)
+        for c in texts:
+            length += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(length)
+        first = 0
+        while first < len(batch):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - length[first] + size, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def map_batches(df: DataFrame, schema: str | T.StructType, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, map_batches, stored, without
+from marlstone.llm.common import add_columns, map_batches, parts, stored, without
 from marlstone.llm.kernels import BASE, U64, Rolling, mix, sliding_min, spread, text_bytes
 
 LENGTH = 200
@@ -110,7 +110,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _first_round(docs: DataFrame, h: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "_bytes"):
             data, offsets = text_bytes(batch.column("_bytes"))
             rank, whole, doc, start, n, state = stretches(data, offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - length + 1), h, length, own=True)
             local = pa.array(start - offsets[:-1][doc], pa.int32())
@@ -128,7 +128,7 @@ def _next_round(segments: DataFrame, active: DataFrame | None, h: int, length: i
         rows = segments.drop("n", "state").join(active.groupBy("_k", "_t", "base").agg(F.collect_list(F.struct("start", "n", "state")).alias("spans")), ["_k", "_t", "base"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "_bytes"):
             data, offsets = text_bytes(batch.column("_bytes"))
             spans = batch.column("spans")
             of = np.repeat(np.arange(len(batch)), np.diff(spans.offsets.to_numpy()))
@@ -163,8 +163,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     settled, active = _ranked(found)
     spans = spans.unionByName(settled)
     cut = active.select("_k", "_t", F.col("start").alias("base"), "n", "state")
-    parts = docs.select("_k", "_t", "_bytes").join(cut, ["_k", "_t"]).select("_k", "_t", "base", "n", "state", F.expr(f"substring(_bytes, base + 1, n + {length - 1})").alias("_bytes"))
-    segments = stored(parts)
+    cuts = docs.select("_k", "_t", "_bytes").join(cut, ["_k", "_t"]).select("_k", "_t", "base", "n", "state", F.expr(f"substring(_bytes, base + 1, n + {length - 1})").alias("_bytes"))
+    segments = stored(cuts)
     if segments.count() > segments.select("_k", "_t", "base").distinct().count():
         segments = stored(segments.groupBy("_k", "_t", "base").agg(*[F.first(c).alias(c) for c in ("n", "state", "_bytes")]))
     active = None
