@@ -8,9 +8,15 @@ stops as soon as all its slots are filled, mostly after one to three steps.
 
 ``BANDS`` bands of ``ROWS`` slots make candidates: two sets of similarity 0.8 share no band with a chance
 of 5e-8. Documents with equal sets are one class beforehand. A bucket's members aren't paired with each
-other: each is compared with the bucket's centre, the member that shares the most buckets, and only
-what stays unconnected goes on, to further centres and in the end pair by pair. Links between
-members that are connected already can't change a component. Links are confirmed on the full sets.
+other: each is compared with the bucket's centre, the member that shares the most buckets. Links are
+confirmed on the full sets; those between members that are connected already can't change a component.
+
+Members that stay unconnected are told apart by what differs from their centre. Two sets that lack r and s of
+the centre's n shingles and have a and b others share n - r - s shingles and as many more as their
+differences have in common. If one isn't linked with the centre, that must be one at least for a link, and
+mostly it must be far more; so of a set's differences only so many (others first, which are rare) can be
+missing in a partner's that a short prefix must hold a common one. Members with a difference in
+common make the next, much smaller buckets, and so on. What is left after some rounds is paired.
 
 Null and empty texts, and those without words, have empty sets and are linked with nothing. Rows that repeat
 an id keep a row each. Rows without an id can join a component but not name it.
@@ -26,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import map_batches, stored
+from marlstone.llm.common import map_batches, parts, stored
 from marlstone.llm.components import components
 from marlstone.llm.kernels import MIX_1, NOT_SPACE, U64, combine, hashed_words, list_array, mix, text_bytes
 
@@ -35,7 +41,7 @@ BANDS = SLOTS // ROWS
 #: Shingles whose permutations are held at once.
 HELD = 1 << 16
 #: Rounds of centres before what is unconnected is paired; pairing comes sooner if it makes fewer pairs than this many per row.
-ROUNDS, FEW = 6, 4
+ROUNDS, FEW = 6, 2
 FRACTION = U64(56)
 
 
@@ -117,7 +123,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     schema = T.StructType([docs.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, text):
             shingles, offsets = shingle_sets(*text_bytes(batch.column(text)), size)
             bands = band_keys(signatures(shingles, offsets))
             classes = pa.array(class_digests(shingles, offsets), pa.binary())
@@ -133,7 +139,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -
     some = docs.select(F.col(key).alias("_own"), F.col(text).alias("text")).join(keys, F.col("_own").eqNullSafe(F.col("_key")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             texts = batch.column("text")
             yield pa.RecordBatch.from_arrays([pa.array(class_digests(*shingle_sets(*text_bytes(texts), size)), pa.binary()), texts], schema.names)
 
@@ -147,7 +153,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text_a", "text_b"):
             one, i = shingle_sets(*text_bytes(batch.column("text_a")), size)
             two, j = shingle_sets(*text_bytes(batch.column("text_b")), size)
             similar = []
@@ -166,6 +172,51 @@ def _pairs(df: DataFrame, percent: int) -> DataFrame:
     return df.filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _named(df: DataFrame, roots: DataFrame, of: str, label: str) -> DataFrame:
+    """df with the component of a class as its label."""
+    return df.drop(label).join(roots.select(F.col("node").alias(of), F.col("root").alias(label)), of, "left").withColumn(label, F.coalesce(label, of))
+
+
+def _differences(group: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """group with what each class has beyond its centre, then what it lacks (items), and how many it lacks."""
+    text = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}"))
+    joined = group.join(text("class"), "class").join(text("centre"), "centre")
+    schema = T.StructType([*group.select("class", "n", "popular", "label", "centre", "n_centre", "label_centre").schema, T.StructField("lacks", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, "text_class", "text_centre"):
+            own, i = shingle_sets(*text_bytes(batch.column("text_class")), size)
+            other, j = shingle_sets(*text_bytes(batch.column("text_centre")), size)
+            lacks, items = [], []
+            for k in range(len(batch)):
+                a, b = own[i[k] : i[k + 1]], other[j[k] : j[k + 1]]
+                missing = np.setdiff1d(b, a, assume_unique=True)
+                lacks.append(len(missing))
+                items.append(np.concatenate([np.setdiff1d(a, b, assume_unique=True), missing]))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in items])])
+            values = np.concatenate([*items, np.zeros(0, U64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-2]), pa.array(lacks, pa.int64()), list_array(values, offsets, pa.int64())], schema.names)
+
+    return map_batches(joined.select(*schema.names[:-2], "text_class", "text_centre"), schema, run)
+
+
+def _refined(group: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Buckets (bucket, class, n, popular, label) of members that may be linked with another component's.
+
+    Twice (100 + percent) times the number of common differences must reach the sum of two members' ``need``; at
+    least one of the two is outside the centre's component, with all its differences, the other with a prefix.
+    """
+    outside = F.col("label") != F.col("label_centre")
+    found = stored(_differences(group, texts, size).withColumn("need", 2 * percent * F.col("n") + 2 * (100 + percent) * F.col("lacks") - (100 + percent) * F.col("n_centre")).withColumn("outside", outside))
+    least = found.filter("outside").groupBy("centre").agg(F.min("need").alias("least"))
+    common = F.greatest(F.lit(1), F.ceil((F.col("need") + F.col("least")) / (2 * (100 + percent)) - 1e-9))
+    sized = found.join(least, "centre").withColumn("prefix", F.greatest(F.lit(0), F.size("items") - common + 1))
+    rows = sized.select("centre", "class", "n", "popular", "label", "prefix", F.posexplode(F.when(F.col("outside"), F.col("items")).otherwise(F.slice("items", F.lit(1), F.col("prefix").cast("int")))).alias("place", "item"))
+    rows = rows.select(F.xxhash64("centre", "item").alias("bucket"), "class", "n", "popular", "label", (F.col("place") < F.col("prefix")).alias("first"))
+    shared = rows.groupBy("bucket").agg(F.max("first").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).filter("first and low <> high").select("bucket")
+    return stored(rows.drop("first").join(shared, "bucket", "left_semi"))
+
+
 def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links join; members: (bucket, members, class, n)."""
     popular = members.groupBy("class").agg(F.sum("members").alias("popular"))
@@ -173,15 +224,15 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     edges = None
     for _ in range(ROUNDS):
         centre = now.groupBy("bucket").agg(F.max(F.struct("popular", "class", "n", "label")).alias("c"))
-        beside = now.join(centre, "bucket").filter("class <> c.class")
-        pairs = _pairs(beside.filter("label <> c.label").select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("c.class").alias("b"), F.col("c.n").alias("n_b")), percent)
-        found = stored(_confirmed(pairs, texts, size, percent))
+        beside = now.join(centre, "bucket").filter("class <> c.class").select("class", "n", "popular", "label", F.col("c.class").alias("centre"), F.col("c.n").alias("n_centre"), F.col("c.label").alias("label_centre"))
+        # two classes mostly share many buckets
+        beside = stored(beside.distinct())
+        found = stored(_confirmed(_pairs(beside.filter("label <> label_centre").select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("n_centre").alias("n_b")), percent), texts, size, percent))
         edges = found if edges is None else edges.unionByName(found)
         roots = components(edges)
-        # a centre has met all its bucket
-        labelled = beside.select("bucket", "class", "n", "popular").join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "n", "popular", F.coalesce("root", "class").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        now = stored(labelled.join(mixed, "bucket", "left_semi"))
+        beside = stored(_named(_named(beside, roots, "class", "label"), roots, "centre", "label_centre"))
+        mixed = beside.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("centre")
+        now = _refined(beside.join(mixed, "centre", "left_semi"), texts, size, percent)
         sums = now.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         rows, left = sums.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0))).first()
         if left <= FEW * rows:
