@@ -7,16 +7,16 @@ slot, ranks are correlated and a signature varies less than one of independent h
 stops as soon as all its slots are filled, mostly after one to three steps.
 
 ``BANDS`` bands of ``ROWS`` slots make candidates: two sets of similarity 0.8 share no band with a chance
-of 5e-8. Documents with equal sets are one class beforehand. A bucket's members aren't paired with each
+of 3e-6. Documents with equal sets are one class beforehand. A bucket's members aren't paired with each
 other: each is compared with the bucket's centre, the member that shares the most buckets. Links are
 confirmed on the full sets; those between members that are connected already can't change a component.
 
 Members that stay unconnected are told apart by what differs from their centre. Two sets that lack r and s of
 the centre's n shingles and have a and b others share n - r - s shingles and as many more as their
-differences have in common. If one isn't linked with the centre, that must be one at least for a link, and
-mostly it must be far more; so of a set's differences only so many (others first, which are rare) can be
-missing in a partner's that a short prefix must hold a common one. Members with a difference in
-common make the next, much smaller buckets, and so on. What is left after some rounds is paired.
+differences have in common. Unless both are linked with the centre, a link needs a least number of
+common differences, mostly a large one. So differences are sorted by how rare they are around the centre,
+and two members are paired only if the first one that they have in common comes early enough to
+leave that many behind it in both. This loses no link, and copies edited at random are hardly ever paired.
 
 Null and empty texts, and those without words, have empty sets and are linked with nothing. Rows that repeat
 an id keep a row each. Rows without an id can join a component but not name it.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +36,10 @@ from marlstone.llm.common import map_batches, parts, stored
 from marlstone.llm.components import components
 from marlstone.llm.kernels import MIX_1, NOT_SPACE, U64, combine, hashed_words, list_array, mix, text_bytes
 
-SLOTS, ROWS = 128, 4
+SLOTS, ROWS = 252, 6
 BANDS = SLOTS // ROWS
 #: Shingles whose permutations are held at once.
 HELD = 1 << 16
-#: Rounds of centres before what is unconnected is paired; pairing comes sooner if it makes fewer pairs than this many per row.
-ROUNDS, FEW = 6, 2
 FRACTION = U64(56)
 
 
@@ -174,74 +172,65 @@ def _pairs(df: DataFrame, percent: int) -> DataFrame:
 
 def _named(df: DataFrame, roots: DataFrame, of: str, label: str) -> DataFrame:
     """df with the component of a class as its label."""
-    return df.drop(label).join(roots.select(F.col("node").alias(of), F.col("root").alias(label)), of, "left").withColumn(label, F.coalesce(label, of))
+    return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(label)), of, "left").withColumn(label, F.coalesce(label, of))
 
 
 def _differences(group: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """group with what each class has beyond its centre, then what it lacks (items), and how many it lacks."""
+    """group with the shingles that either the class or its centre has (items), and how many of the centre's it lacks."""
     text = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}"))
     joined = group.join(text("class"), "class").join(text("centre"), "centre")
-    schema = T.StructType([*group.select("class", "n", "popular", "label", "centre", "n_centre", "label_centre").schema, T.StructField("lacks", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*group.select("class", "n", "label", "centre", "n_centre", "label_centre").schema, T.StructField("lacks", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text_class", "text_centre"):
             own, i = shingle_sets(*text_bytes(batch.column("text_class")), size)
             other, j = shingle_sets(*text_bytes(batch.column("text_centre")), size)
-            lacks, items = [], []
-            for k in range(len(batch)):
-                a, b = own[i[k] : i[k + 1]], other[j[k] : j[k + 1]]
-                missing = np.setdiff1d(b, a, assume_unique=True)
-                lacks.append(len(missing))
-                items.append(np.concatenate([np.setdiff1d(a, b, assume_unique=True), missing]))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in items])])
+            items = [np.setxor1d(own[i[k] : i[k + 1]], other[j[k] : j[k + 1]], assume_unique=True) for k in range(len(batch))]
+            length = np.array([len(x) for x in items])
+            lacks = (length - np.diff(i) + np.diff(j)) // 2
             values = np.concatenate([*items, np.zeros(0, U64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-2]), pa.array(lacks, pa.int64()), list_array(values, offsets, pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-2]), pa.array(lacks, pa.int64()), list_array(values, np.concatenate([[0], np.cumsum(length)]), pa.int64())], schema.names)
 
     return map_batches(joined.select(*schema.names[:-2], "text_class", "text_centre"), schema, run)
 
 
-def _refined(group: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Buckets (bucket, class, n, popular, label) of members that may be linked with another component's.
+def _by_differences(group: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a centre's unconnected members that have enough differences from it in common, maybe.
 
-    Twice (100 + percent) times the number of common differences must reach the sum of two members' ``need``; at
-    least one of the two is outside the centre's component, with all its differences, the other with a prefix.
+    Twice (100 + percent) times the number of these must reach the sum of the members' ``need``.
     """
-    outside = F.col("label") != F.col("label_centre")
-    found = stored(_differences(group, texts, size).withColumn("need", 2 * percent * F.col("n") + 2 * (100 + percent) * F.col("lacks") - (100 + percent) * F.col("n_centre")).withColumn("outside", outside))
-    least = found.filter("outside").groupBy("centre").agg(F.min("need").alias("least"))
-    common = F.greatest(F.lit(1), F.ceil((F.col("need") + F.col("least")) / (2 * (100 + percent)) - 1e-9))
-    sized = found.join(least, "centre").withColumn("prefix", F.greatest(F.lit(0), F.size("items") - common + 1))
-    rows = sized.select("centre", "class", "n", "popular", "label", "prefix", F.posexplode(F.when(F.col("outside"), F.col("items")).otherwise(F.slice("items", F.lit(1), F.col("prefix").cast("int")))).alias("place", "item"))
-    rows = rows.select(F.xxhash64("centre", "item").alias("bucket"), "class", "n", "popular", "label", (F.col("place") < F.col("prefix")).alias("first"))
-    shared = rows.groupBy("bucket").agg(F.max("first").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).filter("first and low <> high").select("bucket")
-    return stored(rows.drop("first").join(shared, "bucket", "left_semi"))
+    unit = 2 * (100 + percent)
+    need = 2 * percent * F.col("n") + unit * F.col("lacks") - (100 + percent) * F.col("n_centre")
+    found = stored(_differences(group, texts, size).withColumns({"need": need, "outside": F.col("label") != F.col("label_centre")}))
+    least = found.groupBy("centre").agg(F.min("need").alias("any"), F.min(F.when(F.col("outside"), F.col("need"))).alias("out"))
+    # of two members one at least is outside the centre's component
+    partner = F.col("need") + F.when(F.col("outside"), F.col("any")).otherwise(F.col("out"))
+    sized = found.join(least, "centre").withColumn("common", F.greatest(F.lit(1), F.ceil(partner / F.lit(unit) - F.lit(1e-9))))
+    rows = sized.select(F.xxhash64("centre").alias("c"), "class", F.xxhash64("label").alias("label"), "outside", "need", "common", F.size("items").alias("size"), F.explode("items").alias("item"))
+    times = rows.groupBy("c", "item").agg(F.count("*").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("c", "class").orderBy("times", "item"))
+    ranked = rows.join(times, ["c", "item"]).withColumn("behind", F.col("size") - rank + 1).filter("times > 1 and behind >= common").select("c", "item", "class", "label", "outside", "need", "behind")
+    ranked = stored(ranked)
+    a, b = (ranked.select(*["c", "item"], *[F.col(x).alias(f"{x}_{k}") for x in ("class", "label", "outside", "need", "behind")]) for k in "ab")
+    enough = F.least("behind_a", "behind_b") * unit >= F.col("need_a") + F.col("need_b")
+    pairs = a.join(b, ["c", "item"]).filter((F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("outside_a") | F.col("outside_b")) & enough)
+    return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
 def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links join; members: (bucket, members, class, n)."""
     popular = members.groupBy("class").agg(F.sum("members").alias("popular"))
-    now = stored(members.select("bucket", "class", "n", F.col("class").alias("label")).join(popular, "class"))
-    edges = None
-    for _ in range(ROUNDS):
-        centre = now.groupBy("bucket").agg(F.max(F.struct("popular", "class", "n", "label")).alias("c"))
-        beside = now.join(centre, "bucket").filter("class <> c.class").select("class", "n", "popular", "label", F.col("c.class").alias("centre"), F.col("c.n").alias("n_centre"), F.col("c.label").alias("label_centre"))
-        # two classes mostly share many buckets
-        beside = stored(beside.distinct())
-        found = stored(_confirmed(_pairs(beside.filter("label <> label_centre").select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("n_centre").alias("n_b")), percent), texts, size, percent))
-        edges = found if edges is None else edges.unionByName(found)
-        roots = components(edges)
-        beside = stored(_named(_named(beside, roots, "class", "label"), roots, "centre", "label_centre"))
-        mixed = beside.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("centre")
-        now = _refined(beside.join(mixed, "centre", "left_semi"), texts, size, percent)
-        sums = now.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        rows, left = sums.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0))).first()
-        if left <= FEW * rows:
-            break
-    if not left:
-        return roots
-    a, b = (now.select("bucket", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    pairs = _pairs(a.join(b, (a["bucket"] == b["bucket"]) & (a["a"] < b["b"]) & (a["label_a"] != b["label_b"])), percent)
-    return components(edges.unionByName(stored(_confirmed(pairs, texts, size, percent))))
+    now = stored(members.select("bucket", "class", "n").join(popular, "class"))
+    centre = now.groupBy("bucket").agg(F.max(F.struct("popular", "class", "n")).alias("c"))
+    beside = now.join(centre, "bucket").filter("class <> c.class").select("class", "n", F.col("c.class").alias("centre"), F.col("c.n").alias("n_centre"))
+    # two classes mostly share many buckets
+    beside = stored(beside.distinct())
+    edges = stored(_confirmed(_pairs(beside.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("n_centre").alias("n_b")), percent), texts, size, percent))
+    roots = components(edges)
+    named = stored(_named(_named(beside, roots, "class", "label"), roots, "centre", "label_centre"))
+    mixed = named.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("centre")
+    more = stored(_confirmed(_by_differences(named.join(mixed, "centre", "left_semi"), texts, size, percent), texts, size, percent))
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -117,16 +117,32 @@ def test_against_brute_force(spark):
     assert run(spark, rows, size=5, parts=7) == brute(rows, 5)
 
 
-def test_chain_without_a_common_centre(spark, monkeypatch):
+def test_chain_without_a_common_centre(spark):
     """Each text is near the next one only, so no single centre links the bucket."""
     base = [f"w{k}" for k in range(400)]
     rows = [(100 - k, " ".join(base[6 * k : 6 * k + 120])) for k in range(40)]
     want = brute(rows, 4)
     assert len({r[2] for r in want}) == 1
     assert run(spark, rows) == want
-    monkeypatch.setattr(smh, "FEW", 0)
-    monkeypatch.setattr(smh, "ROUNDS", 2)
-    assert run(spark, rows) == want
+
+
+def test_families_around_a_hub(spark):
+    """Copies of copies: some are near each other, but not near the text that most others are near to."""
+    rng = random.Random(11)
+    hub = [f"w{rng.randrange(4000)}" for _ in range(150)]
+
+    def edited(base, n):
+        copy = list(base)
+        for k in rng.sample(range(len(copy)), n):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        return copy
+
+    texts = [edited(hub, rng.choice([1, 2, 3, 5, 8, 12])) for _ in range(60)]
+    far = [edited(hub, 14) for _ in range(6)]
+    texts += far + [edited(f, rng.choice([1, 2, 3])) for f in far for _ in range(5)] + [f[: len(f) - k] for f in (hub, *far) for k in (10, 25, 40, 60)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    assert run(spark, rows) == brute(rows, 4)
 
 
 def test_edges(spark):
