@@ -10,8 +10,10 @@ Rules that hold for all of them:
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+ROOT = str(Path(__file__).resolve().parent.parent.parent)
 #: Bytes of text that go to Python in one Arrow batch at most; one longer row makes a batch of its own.
 BATCH_BYTES = 8 << 20
 
@@ -30,7 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, as rows of text differ in length by orders of magnitude."""
+    """Bound Arrow batches by bytes, as rows of text differ in length by orders of magnitude.
+
+    Also lets Python workers on this machine import the library wherever the session was started; on a
+    cluster the library is shipped with --py-files.
+    """
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, ROOT]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)).rstrip("b")) > BATCH_BYTES:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -96,12 +106,14 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     # Spark deletes shuffle files once the driver has collected their plan, which it may not do for long
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the table that ``stored`` wrote for df; only where nothing lazy still reads it."""
-    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-    for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(at)
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote; for those that nothing lazy reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, map_batches, parts, stored, without
+from marlstone.llm.common import add_columns, dropped, map_batches, parts, stored, without
 from marlstone.llm.kernels import BASE, U64, Rolling, mix, sliding_min, spread, text_bytes
 
 LENGTH = 200
@@ -144,37 +144,39 @@ def _next_round(segments: DataFrame, active: DataFrame | None, h: int, length: i
 
 
 def _ranked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spans found to be repeated, distinct stretches that go on) of a round's stored stretches."""
+    """(spans found to be repeated, distinct stretches that go on) of a round's stored stretches, which are deleted."""
     ranks = found.filter(F.col("state") != AGAIN).groupBy("rank").agg(F.count("*").alias("times")).filter("times > 1")
     again = stored(found.filter(F.col("state") != AGAIN).join(ranks, "rank").drop("times"))
     wholes = again.groupBy("rank", "whole").agg(F.count("*").alias("times"), F.max("state").alias("state"), F.min(F.struct("_k", "_t", "base", "start", "n")).alias("one"))
     wholes = stored(wholes.withColumn("state", F.when(F.col("times") > 1, SETTLED).otherwise(F.col("state"))))
     settled = again.filter(F.col("state") == OPEN).join(wholes.filter("times > 1").select("rank", "whole"), ["rank", "whole"]).select("_k", "_t", "start", "n")
+    spans = stored(settled)
     mixed = wholes.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("state").alias("least")).filter((F.col("kinds") > 1) & (F.col("least") == OPEN)).select("rank")
-    onwards = wholes.join(mixed, "rank", "left_semi").select("one.*", "state")
-    return settled, onwards
+    onwards = stored(wholes.join(mixed, "rank", "left_semi").select("one.*", "state"))
+    dropped(found, again, wholes)
+    return spans, onwards
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(_k, _t, start, n): strings that start at start .. start+n-1 and occur elsewhere; docs as _keyed makes them."""
     offsets = offsets_of(length)
     found = stored(_first_round(docs, offsets[0], length))
-    spans = found.filter(F.col("state") != OPEN).select("_k", "_t", "start", "n")
-    settled, active = _ranked(found)
-    spans = spans.unionByName(settled)
-    cut = active.select("_k", "_t", F.col("start").alias("base"), "n", "state")
-    cuts = docs.select("_k", "_t", "_bytes").join(cut, ["_k", "_t"]).select("_k", "_t", "base", "n", "state", F.expr(f"substring(_bytes, base + 1, n + {length - 1})").alias("_bytes"))
-    segments = stored(cuts)
+    local = stored(found.filter(F.col("state") != OPEN).select("_k", "_t", "start", "n"))
+    spans, first = _ranked(found)
+    spans = spans.unionByName(local)
+    cut = first.select("_k", "_t", F.col("start").alias("base"), "n", "state")
+    segments = stored(docs.select("_k", "_t", "_bytes").join(cut, ["_k", "_t"]).select("_k", "_t", "base", "n", "state", F.expr(f"substring(_bytes, base + 1, n + {length - 1})").alias("_bytes")))
     if segments.count() > segments.select("_k", "_t", "base").distinct().count():
         segments = stored(segments.groupBy("_k", "_t", "base").agg(*[F.first(c).alias(c) for c in ("n", "state", "_bytes")]))
     active = None
     for h in offsets[1:]:
-        settled, active = _ranked(stored(_next_round(segments, active, h, length)))
-        active = stored(active)
-        spans = spans.unionByName(settled)
+        more, active = _ranked(stored(_next_round(segments, active, h, length)))
+        spans = spans.unionByName(more)
     last = stored(_next_round(segments, active, length, length).drop("whole", "base"))
     ranks = last.groupBy("rank").agg(F.count("*").alias("times")).filter("times > 1").select("rank")
-    return spans.unionByName(last.filter(F.col("state") == OPEN).join(ranks, "rank").select("_k", "_t", "start", "n"))
+    more = stored(last.filter(F.col("state") == OPEN).join(ranks, "rank").select("_k", "_t", "start", "n"))
+    dropped(last, segments)
+    return spans.unionByName(more)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -185,7 +187,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """
     docs = without(docs, "n_bytes", "spans", "kept", "_k", "_t", "_bytes")
     keyed = _keyed(docs, key, text)
-    spans = repeated_spans(keyed, length).groupBy("_k", "_t").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+    spans = stored(repeated_spans(keyed, length).groupBy("_k", "_t").agg(F.collect_list(F.struct("start", "n")).alias("_spans")))
     joined = keyed.join(spans, ["_k", "_t"], "left").drop("_k", "_t")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]
