@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, map_batches, parts, stored, table, without
+from marlstone.llm.common import add_columns, dropped, map_batches, parts, stored, table, without
 from marlstone.llm.kernels import NOT_SPACE, U64, Rolling, mix, spread, text_bytes
 
 WINDOW, BITS, LEAST, MOST, RUN = 32, 5, 8, 256, 96
@@ -108,7 +108,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     found = stored(chunks(docs, text))
     repeated = found.groupBy("digest", "n").agg(F.count("*").alias("times"), F.min(F.struct("_k", "_t", "start")).alias("first")).filter("times > 1")
     again = found.join(repeated, ["digest", "n"]).filter(F.struct("_k", "_t", "start") != F.col("first"))
-    gone = again.groupBy("_k", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_gone"))
+    gone = stored(again.groupBy("_k", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_gone")))
+    dropped(found)
     joined = docs.join(gone, ["_k", "_t"], "left").drop("_k", "_t")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", T.ArrayType(span)), T.StructField("deduplicated", T.StringType())]
