@@ -128,7 +128,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
             texts.append(None if null else b"".join(own[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
         return [pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.binary()).cast(pa.string())]
 
-    return add_columns(joined, fields, compute).drop("_gone")
+    return add_columns(joined, fields, compute, (text,)).drop("_gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

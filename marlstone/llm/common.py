@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 ROOT = str(Path(__file__).resolve().parent.parent.parent)
 #: Bytes of text that go to Python in one Arrow batch at most; one longer row makes a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,16 +45,34 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: What empties the caches that operators keep in a Python worker, and the operator that used the worker last.
+_emptied: list[Callable[[], None]] = []
+_last = [""]
+
+
+def kept_in_worker(empty: Callable[[], None]) -> None:
+    _emptied.append(empty)
+
+
+def entered(operator: str) -> None:
+    """A worker that serves one operator after another keeps the caches of the current one only."""
+    if _last[0] != operator:
+        for empty in _emptied:
+            empty()
+        _last[0] = operator
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns of these names, in any letter case."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], prepare: Callable[[], None] | None = None) -> DataFrame:
+def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[pa.RecordBatch], list], texts: tuple[str, ...] = ()) -> DataFrame:
     """Append Arrow-computed columns to every row.
 
-    ``compute`` gets a batch of all columns and returns one array for each of ``fields``.
+    ``compute`` gets a batch of all columns and returns one array for each of ``fields``. texts: cut batches by
+    the bytes of these columns first.
     """
     bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c.lower() not in {f.name.lower() for f in fields}]
@@ -62,14 +80,15 @@ def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[p
     out = to_arrow_schema(T.StructType(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        entered(compute.__module__)
+        for batch in parts(batches, *texts) if texts else batches:
             made = compute(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[a if isinstance(a, pa.Array) else pa.array(a, out.field(f.name).type) for a, f in zip(made, fields, strict=True)]], names=[*kept, *[f.name for f in fields]])
 
     return df.mapInArrow(run, schema)
 
 
-def parts(batches: Iterator[pa.RecordBatch], *texts: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], *texts: str, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Batches cut into such of about size bytes of text, or one longer row, for kernels that need many times that."""
     for batch in batches:
         length = np.zeros(len(batch), np.int64)
@@ -85,7 +104,12 @@ def parts(batches: Iterator[pa.RecordBatch], *texts: str, size: int = 1 << 20) -
 
 def map_batches(df: DataFrame, schema: str | T.StructType, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered(run.__module__)
+        yield from run(batches)
+
+    return df.mapInArrow(enter, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, map_batches
+from marlstone.llm.common import add_columns, kept_in_worker, map_batches
 from marlstone.llm.kernels import spread
 
 WIDTH = 10
@@ -163,6 +163,7 @@ class Shard:
 
 
 _blocks: dict[str, TestSuffixes] = {}
+kept_in_worker(_blocks.clear)
 
 
 def _block(shared, key: str, width: int) -> TestSuffixes:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import table
-from marlstone.llm.sentencepiece_bpe import decode, encode
+from marlstone.llm.sentencepiece_bpe import encode_and_decode
 
 
 def model_file() -> str:
@@ -17,5 +17,5 @@ def model_file() -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, model_file()).drop("text"), model_file())
+    coded = encode_and_decode(docs, model_file())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -123,7 +123,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str
         mean = (total[of[1:]] - total[of[:-1]]) * SCALE / np.maximum(np.diff(of), 1)
         return [pa.array(1 / (1 + np.exp(-np.clip(mean + float(w[-1]), -30, 30))), pa.float64())]
 
-    return add_columns(docs, [T.StructField(score, T.DoubleType())], compute)
+    return add_columns(docs, [T.StructField(score, T.DoubleType())], compute, (text,))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **parameters) -> DataFrame:

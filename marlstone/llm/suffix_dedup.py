@@ -212,4 +212,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         found = pa.StructArray.from_arrays([pa.array(begin - offsets[doc], pa.int32()), pa.array(end - offsets[doc], pa.int32())], ["start", "end"])
         return [pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(batch) + 1)), pa.int32()), found), pa.array(kept, pa.binary())]
 
-    return add_columns(joined, fields, compute).drop("_bytes", "_spans")
+    return add_columns(joined, fields, compute, ("_bytes",)).drop("_bytes", "_spans")

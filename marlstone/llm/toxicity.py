@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, map_batches
+from marlstone.llm.common import add_columns, kept_in_worker, map_batches
 from marlstone.llm.kernels import WORD_BYTES, U64, Rolling, lower_table, mix, text_bytes, word_spans
 from marlstone.llm.labelled import training_sample
 
@@ -211,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", lang: str =
 
 
 _models: dict[int, tuple[Net, list]] = {}
+kept_in_worker(_models.clear)
 
 
 def scored(docs: DataFrame, model: bytes, text: str = "text", score: str = "score") -> DataFrame:
@@ -226,7 +227,7 @@ def scored(docs: DataFrame, model: bytes, text: str = "text", score: str = "scor
         net, tables = _models[key]
         return [pa.array(net.scores(net.logits(*word_numbers(*text_bytes(batch.column(text))), tables)), pa.float64())]
 
-    return add_columns(docs, [T.StructField(score, T.DoubleType())], compute)
+    return add_columns(docs, [T.StructField(score, T.DoubleType())], compute, (text,))
 
 
 def classify(docs: DataFrame, labels: DataFrame, lang: str = "lang", **parameters) -> DataFrame:
