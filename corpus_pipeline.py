@@ -40,8 +40,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, and the text that they stand for."""
-    model = op1.model_file()
-    coded = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs.select(COLUMNS), model).drop("text"), model)
+    coded = sentencepiece_bpe.encode_and_decode(docs.select(COLUMNS), op1.model_file())
     return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
