@@ -46,16 +46,16 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b").filter("a <> b")
     labels = None
     while True:
-        edges = stored(map_batches(edges, edges.schema, union_find).distinct())
+        edges = stored(map_batches(edges, edges.schema, union_find).distinct(), small=True)
         if edges.isEmpty():
             return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         low = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).filter("b < a")
         again = low.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        hooks = stored(low.join(again, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("root")))
+        hooks = stored(low.join(again, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("root")), small=True)
         if labels is None:
             labels = hooks
         else:
             known = labels.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-            labels = stored(known.unionByName(hooks.join(labels.select("node"), "node", "left_anti")))
+            labels = stored(known.unionByName(hooks.join(labels.select("node"), "node", "left_anti")), small=True)
         to_a, to_b = hooks.select(F.col("node").alias("a"), F.col("root").alias("x")), hooks.select(F.col("node").alias("b"), F.col("root").alias("y"))
         edges = edges.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a <> b").distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, dropped, map_batches, parts, stored, without
+from marlstone.llm.common import add_columns, dropped, gathered, map_batches, parts, stored, without
 from marlstone.llm.kernels import BASE, U64, Rolling, mix, sliding_min, spread, text_bytes
 
 LENGTH = 200
@@ -140,19 +140,19 @@ def _next_round(segments: DataFrame, active: DataFrame | None, h: int, length: i
             place = pa.array(row)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(place) for c in ("_k", "_t", "base")), pa.array(rank), pa.array(whole), pa.array(at - offsets[:-1][row] + base[row], pa.int32()), pa.array(n, pa.int32()), pa.array(state[interval], pa.int32())], [f.split()[0] for f in STRETCHES.split(", ")])
 
-    return map_batches(rows.select("_k", "_t", "base", "_bytes", "spans"), STRETCHES, run)
+    return map_batches(gathered(rows.select("_k", "_t", "base", "_bytes", "spans")), STRETCHES, run)
 
 
 def _ranked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans found to be repeated, distinct stretches that go on) of a round's stored stretches, which are deleted."""
     ranks = found.filter(F.col("state") != AGAIN).groupBy("rank").agg(F.count("*").alias("times")).filter("times > 1")
-    again = stored(found.filter(F.col("state") != AGAIN).join(ranks, "rank").drop("times"))
+    again = stored(found.filter(F.col("state") != AGAIN).join(ranks, "rank").drop("times"), small=True)
     wholes = again.groupBy("rank", "whole").agg(F.count("*").alias("times"), F.max("state").alias("state"), F.min(F.struct("_k", "_t", "base", "start", "n")).alias("one"))
-    wholes = stored(wholes.withColumn("state", F.when(F.col("times") > 1, SETTLED).otherwise(F.col("state"))))
+    wholes = stored(wholes.withColumn("state", F.when(F.col("times") > 1, SETTLED).otherwise(F.col("state"))), small=True)
     settled = again.filter(F.col("state") == OPEN).join(wholes.filter("times > 1").select("rank", "whole"), ["rank", "whole"]).select("_k", "_t", "start", "n")
-    spans = stored(settled)
+    spans = stored(settled, small=True)
     mixed = wholes.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("state").alias("least")).filter((F.col("kinds") > 1) & (F.col("least") == OPEN)).select("rank")
-    onwards = stored(wholes.join(mixed, "rank", "left_semi").select("one.*", "state"))
+    onwards = stored(wholes.join(mixed, "rank", "left_semi").select("one.*", "state"), small=True)
     dropped(found, again, wholes)
     return spans, onwards
 
@@ -161,7 +161,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(_k, _t, start, n): strings that start at start .. start+n-1 and occur elsewhere; docs as _keyed makes them."""
     offsets = offsets_of(length)
     found = stored(_first_round(docs, offsets[0], length))
-    local = stored(found.filter(F.col("state") != OPEN).select("_k", "_t", "start", "n"))
+    local = stored(found.filter(F.col("state") != OPEN).select("_k", "_t", "start", "n"), small=True)
     spans, first = _ranked(found)
     spans = spans.unionByName(local)
     cut = first.select("_k", "_t", F.col("start").alias("base"), "n", "state")
@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         spans = spans.unionByName(more)
     last = stored(_next_round(segments, active, length, length).drop("whole", "base"))
     ranks = last.groupBy("rank").agg(F.count("*").alias("times")).filter("times > 1").select("rank")
-    more = stored(last.filter(F.col("state") == OPEN).join(ranks, "rank").select("_k", "_t", "start", "n"))
+    more = stored(last.filter(F.col("state") == OPEN).join(ranks, "rank").select("_k", "_t", "start", "n"), small=True)
     dropped(last, segments)
     return spans.unionByName(more)
 

@@ -210,7 +210,7 @@ def _by_differences(group: DataFrame, texts: DataFrame, size: int, percent: int)
     times = rows.groupBy("c", "item").agg(F.count("*").alias("times"))
     rank = F.row_number().over(Window.partitionBy("c", "class").orderBy("times", "item"))
     ranked = rows.join(times, ["c", "item"]).withColumn("behind", F.col("size") - rank + 1).filter("times > 1 and behind >= common").select("c", "item", "class", "label", "outside", "need", "behind")
-    ranked = stored(ranked)
+    ranked = stored(ranked, small=True)
     a, b = (ranked.select(*["c", "item"], *[F.col(x).alias(f"{x}_{k}") for x in ("class", "label", "outside", "need", "behind")]) for k in "ab")
     enough = F.least("behind_a", "behind_b") * unit >= F.col("need_a") + F.col("need_b")
     pairs = a.join(b, ["c", "item"]).filter((F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("outside_a") | F.col("outside_b")) & enough)
@@ -220,17 +220,17 @@ def _by_differences(group: DataFrame, texts: DataFrame, size: int, percent: int)
 def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of the classes that links join; members: (bucket, members, class, n)."""
     popular = members.groupBy("class").agg(F.sum("members").alias("popular"))
-    now = stored(members.select("bucket", "class", "n").join(popular, "class"))
+    now = stored(members.select("bucket", "class", "n").join(popular, "class"), small=True)
     centre = now.groupBy("bucket").agg(F.max(F.struct("popular", "class", "n")).alias("c"))
     beside = now.join(centre, "bucket").filter("class <> c.class").select("class", "n", F.col("c.class").alias("centre"), F.col("c.n").alias("n_centre"))
     # two classes mostly share many buckets
-    beside = stored(beside.distinct())
-    edges = stored(_confirmed(_pairs(beside.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("n_centre").alias("n_b")), percent), texts, size, percent))
+    beside = stored(beside.distinct(), small=True)
+    edges = _confirmed(_pairs(beside.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("n_centre").alias("n_b")), percent), texts, size, percent)
     roots = components(edges)
-    named = stored(_named(_named(beside, roots, "class", "label"), roots, "centre", "label_centre"))
+    named = stored(_named(_named(beside, roots, "class", "label"), roots, "centre", "label_centre"), small=True)
     mixed = named.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("centre")
-    more = stored(_confirmed(_by_differences(named.join(mixed, "centre", "left_semi"), texts, size, percent), texts, size, percent))
-    return roots if more.isEmpty() else components(edges.unionByName(more))
+    more = _confirmed(_by_differences(named.join(mixed, "centre", "left_semi"), texts, size, percent), texts, size, percent)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -244,8 +244,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = stored(classes)
     rows = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = stored(rows.join(shared, "bucket"))
-    wanted = stored(members.select("class").distinct().join(classes.select("class", "first"), "class"))
+    members = stored(rows.join(shared, "bucket"), small=True)
+    wanted = stored(members.select("class").distinct().join(classes.select("class", "first"), "class"), small=True)
     roots = _links(members, stored(_texts(docs, wanted, key, text, size)), size, percent)
     named = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
