@@ -137,6 +137,8 @@ class _Parser:
         return self.phrase()
 
     def phrase(self) -> Node:
+        if any(self.peek("word", w) for w in ("AND", "OR", "NOT")):
+            raise ValueError(f"the query lacks a term at token {self.at + 1}")
         words = words_of(self.take("string") if self.peek("string") else self.take("word"))
         while self.peek("mark", "+"):
             self.at += 1
