@@ -108,7 +108,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run
     found = stored(chunks(docs, text))
     repeated = found.groupBy("digest", "n").agg(F.count("*").alias("times"), F.min(F.struct("_k", "_t", "start")).alias("first")).filter("times > 1")
     again = found.join(repeated, ["digest", "n"]).filter(F.struct("_k", "_t", "start") != F.col("first"))
-    gone = stored(again.groupBy("_k", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_gone")))
+    gone = stored(again.groupBy("_k", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_gone")), small=True)
     dropped(found)
     joined = docs.join(gone, ["_k", "_t"], "left").drop("_k", "_t")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])

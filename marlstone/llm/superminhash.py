@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import map_batches, parts, stored
+from marlstone.llm.common import gathered, map_batches, parts, stored
 from marlstone.llm.components import components
 from marlstone.llm.kernels import MIX_1, NOT_SPACE, U64, combine, hashed_words, list_array, mix, text_bytes
 
@@ -191,7 +191,7 @@ def _differences(group: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             values = np.concatenate([*items, np.zeros(0, U64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-2]), pa.array(lacks, pa.int64()), list_array(values, np.concatenate([[0], np.cumsum(length)]), pa.int64())], schema.names)
 
-    return map_batches(joined.select(*schema.names[:-2], "text_class", "text_centre"), schema, run)
+    return map_batches(gathered(joined.select(*schema.names[:-2], "text_class", "text_centre")), schema, run)
 
 
 def _by_differences(group: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = stored(rows.join(shared, "bucket"), small=True)
     wanted = stored(members.select("class").distinct().join(classes.select("class", "first"), "class"), small=True)
-    roots = _links(members, stored(_texts(docs, wanted, key, text, size)), size, percent)
+    roots = _links(members, stored(_texts(docs, wanted, key, text, size), small=True), size, percent)
     named = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = named.join(names, "root").select("class", "component_id")
