@@ -29,7 +29,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages stay in the document of the smallest id only; every document stays, with its shorter text."""
-    found = chunk_dedup.remove_repeats(docs.select(COLUMNS))
+    found = chunk_dedup.remove_repeats(docs.select(COLUMNS), extend=True)
     return found.withColumns({"text": F.col("deduplicated"), "n_chars": F.length("deduplicated").cast("long")}).select(COLUMNS)
 
 

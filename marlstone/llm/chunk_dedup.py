@@ -10,12 +10,18 @@ Chunks are told apart by digest and length. Of a repeated chunk the first occurr
 stays; the others are removed where they form a run of ``RUN`` bytes at least, so that phrases which
 texts share by chance stay. A run is narrowed to whole words, so no word or character is torn.
 
+With ``extend`` a repeated chunk is only a seed: from each run of seeds that lie alike in the same earlier text the
+match grows byte by byte to both sides as far as the two texts agree, and ``RUN`` applies to what it has grown to.
+Windows of the earlier text around the ends of a run are fetched for that, first of ``REACH`` bytes; runs whose
+window agrees to its end get a larger one until none is left, so no match is cut off.
+
 Null and empty texts have no chunks and stay as they are. Rows that are equal in id and text are one
 document and treated alike. The key is an integer column; a null one comes before all others.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +34,12 @@ from marlstone.llm.common import add_columns, dropped, map_batches, parts, store
 from marlstone.llm.kernels import NOT_SPACE, U64, Rolling, mix, spread, text_bytes
 
 WINDOW, BITS, LEAST, MOST, RUN = 32, 5, 8, 256, 96
+#: Bytes of the first window on each side, and how many times larger the next one is.
+REACH, WIDER = 320, 16
 CHUNKS = "_k long, _t int, start int, n int, digest long"
+#: Runs of seeds of the text _k, _t from a to b that lie d bytes further on in the text fk, ft.
+HULLS = "_k long, _t int, fk long, ft int, d int, a int, b int"
+HULL_COLUMNS = [f.split()[0] for f in HULLS.split(", ")]
 
 
 def gear_table() -> np.ndarray:
@@ -102,37 +113,194 @@ def removed_runs(data: np.ndarray, start: np.ndarray, n: np.ndarray, least: int)
     return out
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def hulls(start: np.ndarray, n: np.ndarray, fk: np.ndarray, ft: np.ndarray, fs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(fk, ft, d, a, b) of the seeds of one text, sorted by start: of all that lie alike in one run of adjacent seeds, the first start and last end."""
+    out: dict[tuple, list[int]] = {}
+    block, last = 0, None
+    for a, size, k, t, s in zip(*(x.tolist() for x in (start, n, fk, ft, fs)), strict=True):
+        block += last is not None and a != last
+        last = a + size
+        out.setdefault((block, k, t, s - a), [a, last])[1] = last
+    return [(k, t, d, a, b) for (_, k, t, d), (a, b) in out.items()]
+
+
+def hulls_of(gone: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_gone")
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            fields = [lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "fk", "ft", "fs")]
+            found = [hulls(*(x[i:j] for x in fields)) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int64())
+            made = list(zip(*(h for x in found for h in x), strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("_k").take(of), batch.column("_t").take(of), *[pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]], [f.split()[0] for f in HULLS.split(", ")])
+
+    return map_batches(gone, HULLS, run)
+
+
+def agree(one: np.ndarray, two: np.ndarray) -> int:
+    """Bytes that are equal from the start on."""
+    size = min(len(one), len(two))
+    other = np.flatnonzero(one[:size] != two[:size])
+    return int(other[0]) if len(other) else size
+
+
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go only once Spark's listeners, which lag behind, have let go of their plans."""
+    time.sleep(1)
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
+
+
+def grown(docs: DataFrame, text: str, runs: DataFrame, reach: int) -> DataFrame:
+    """runs (HULLS), stored, with the bytes that agree on their left and right, and more: whether a window of reach bytes was too small to tell."""
+    side = lambda right, at: F.struct(F.lit(right).alias("right"), (F.col(at) + F.col("d")).alias("p"))
+    asked = runs.withColumn("_side", F.explode(F.array(side(False, "a"), side(True, "b")))).select(*HULL_COLUMNS, "_side.right", "_side.p")
+    # by one text and place it is one window, however many ask for it
+    places = asked.groupBy(F.col("fk").alias("_k"), F.col("ft").alias("_t")).agg(F.collect_set(F.struct("p", "right")).alias("_places"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, text):
+            data, offsets = text_bytes(batch.column(text))
+            rows = []
+            for i, (k, t, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_k", "_t", "_places")), strict=True)):
+                own = data[offsets[i] : offsets[i + 1]]
+                rows += [(k, t, x["p"], x["right"], (own[x["p"] : x["p"] + reach] if x["right"] else own[max(x["p"] - reach, 0) : x["p"]]).tobytes()) for x in places]
+                if len(rows) > 2000:
+                    yield rows_batch(rows)
+                    rows = []
+            yield rows_batch(rows)
+
+    def rows_batch(rows: list) -> pa.RecordBatch:
+        made = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(made, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["fk", "ft", "p", "right", "near"])
+
+    near = map_batches(docs.select("_k", "_t", text).join(places, ["_k", "_t"]), "fk long, ft int, p int, right boolean, near binary", windows)
+    # rows that are equal in id and text are one document
+    near = near.groupBy("fk", "ft", "p", "right").agg(F.first("near").alias("near"))
+    sides = asked.join(near, ["fk", "ft", "p", "right"])
+    # stored, so that the first join's shuffled texts are gone before the second one
+    wanted = stored(sides.groupBy("_k", "_t").agg(F.collect_list(F.struct("fk", "ft", "d", "a", "b", "right", "near")).alias("_sides")))
+    let_go(docs.sparkSession)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, text):
+            data, offsets = text_bytes(batch.column(text))
+            found: dict[tuple, list] = {}
+            for i, (k, t, sides) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_k", "_t", "_sides")), strict=True)):
+                own = data[offsets[i] : offsets[i + 1]]
+                for x in sides:
+                    a, b, near = x["a"], x["b"], np.frombuffer(x["near"], np.uint8)
+                    same = agree(own[b : b + reach], near) if x["right"] else agree(own[max(a - reach, 0) : a][::-1], near[::-1])
+                    out = found.setdefault((k, t, x["fk"], x["ft"], x["d"], a, b), [0, 0, False])
+                    out[x["right"]] = same
+                    out[2] |= same == reach
+            made = list(zip(*((*h, *x) for h, x in found.items()), strict=True)) or [()] * 10
+            kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 6, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)], [*HULL_COLUMNS, "left", "right", "more"])
+
+    found = stored(map_batches(docs.select("_k", "_t", text).join(wanted, ["_k", "_t"]), f"{HULLS}, left int, right int, more boolean", compare))
+    dropped(wanted)
+    return found
+
+
+def matches(docs: DataFrame, text: str, gone: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """_k, _t and _matches (start and n of the grown runs of each text), and the stored tables that they are read from."""
+    runs, reach, kept, done = hulls_of(gone), REACH, [], []
+    while True:
+        found = grown(docs, text, runs, reach)
+        kept.append(found)
+        done.append(found.filter(~F.col("more") & (F.col("left") + F.col("right") > 0)))
+        runs, reach = found.filter("more").select(*HULL_COLUMNS), reach * WIDER
+        if runs.isEmpty():
+            break
+    whole = done[0]
+    for more in done[1:]:
+        whole = whole.unionByName(more)
+    span = F.struct((F.col("a") - F.col("left")).alias("start"), (F.col("b") - F.col("a") + F.col("left") + F.col("right")).alias("n"))
+    return stored(whole.groupBy("_k", "_t").agg(F.array_sort(F.collect_set(span)).alias("_matches")), small=True), kept
+
+
+def whole_runs(data: np.ndarray, start: np.ndarray, n: np.ndarray, m_start: np.ndarray, m_n: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Runs of adjacent chunks of least bytes with the matches that touch them, and other matches of least bytes, joined and narrowed to whole words."""
+    if not len(start):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], start[1:] != (start + n)[:-1]]))
+    a, b = start[first], (start + n)[np.append(first[1:], len(start)) - 1]
+    a, b = a[b - a >= least], b[b - a >= least]
+    m_end = m_start + m_n
+    at = np.searchsorted(b, m_start, "right")
+    touches = np.append(a, len(data))[at] < m_end
+    take = touches | (m_n >= least)
+    spans = sorted(zip(np.concatenate([a, m_start[take]]).tolist(), np.concatenate([b, m_end[take]]).tolist(), strict=True))
+    joined: list[list[int]] = []
+    for x, y in spans:
+        if joined and x <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], y)
+        else:
+            joined.append([x, y])
+    out = []
+    for x, y in joined:
+        while 0 < x < y and NOT_SPACE[data[x]] and NOT_SPACE[data[x - 1]]:
+            x += 1
+        while x < y < len(data) and NOT_SPACE[data[y]] and NOT_SPACE[data[y - 1]]:
+            y -= 1
+        # what stays on both sides stays apart
+        if 0 < x < y < len(data) and NOT_SPACE[data[x - 1]] and NOT_SPACE[data[y]]:
+            x += 1
+        if x < y:
+            out.append((x, y))
+    return out
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN, extend: bool = False) -> DataFrame:
     """docs with n_bytes, removed_spans (start and end bytes) and deduplicated (the text that remains, null for null)."""
-    docs = keyed(without(docs, "n_bytes", "removed_spans", "deduplicated", "_k", "_t", "_gone"), key, text)
+    docs = keyed(without(docs, "n_bytes", "removed_spans", "deduplicated", "_k", "_t", "_gone", *(["_matches"] if extend else [])), key, text)
     found = stored(chunks(docs, text))
     repeated = found.groupBy("digest", "n").agg(F.count("*").alias("times"), F.min(F.struct("_k", "_t", "start")).alias("first")).filter("times > 1")
     again = found.join(repeated, ["digest", "n"]).filter(F.struct("_k", "_t", "start") != F.col("first"))
-    gone = stored(again.groupBy("_k", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("_gone")), small=True)
+    seed = [F.col("first._k").alias("fk"), F.col("first._t").alias("ft"), F.col("first.start").alias("fs")] if extend else []
+    gone = stored(again.groupBy("_k", "_t").agg(F.array_sort(F.collect_set(F.struct("start", "n", *seed))).alias("_gone")), small=True)
     dropped(found)
-    joined = docs.join(gone, ["_k", "_t"], "left").drop("_k", "_t")
+    joined = docs.join(gone, ["_k", "_t"], "left")
+    if extend:
+        let_go(docs.sparkSession)
+        more, read = matches(docs, text, gone)
+        dropped(*read)
+        let_go(docs.sparkSession)
+        joined = joined.join(more, ["_k", "_t"], "left")
+    joined = joined.drop("_k", "_t")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("removed_spans", T.ArrayType(span)), T.StructField("deduplicated", T.StringType())]
 
+    def spans_of(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends of the lists after a zero, start, n)."""
+        lists = batch.column(name)
+        ends = np.concatenate([[0], np.cumsum(np.where(lists.is_null(), 0, np.diff(lists.offsets.to_numpy())))])
+        return ends, *(lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+
     def compute(batch: pa.RecordBatch) -> list:
         data, offsets = text_bytes(batch.column(text))
-        lists, nulls = batch.column("_gone"), batch.column(text).is_null().to_pylist()
-        ends = np.concatenate([[0], np.cumsum(np.where(lists.is_null(), 0, np.diff(lists.offsets.to_numpy())))])
-        start, n = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+        nulls = batch.column(text).is_null().to_pylist()
+        ends, start, n = spans_of(batch, "_gone")
+        if extend:
+            m_ends, m_start, m_n = spans_of(batch, "_matches")
         spans, texts = [], []
         for k, null in enumerate(nulls):
             own = data[offsets[k] : offsets[k + 1]]
-            runs = removed_runs(own, start[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]], run)
+            seeds = start[ends[k] : ends[k + 1]], n[ends[k] : ends[k + 1]]
+            runs = whole_runs(own, *seeds, m_start[m_ends[k] : m_ends[k + 1]], m_n[m_ends[k] : m_ends[k + 1]], run) if extend else removed_runs(own, *seeds, run)
             spans.append([{"start": a, "end": b} for a, b in runs])
             edges = [0, *(x for r in runs for x in r), len(own)]
             texts.append(None if null else b"".join(own[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
         return [pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.binary()).cast(pa.string())]
 
-    return add_columns(joined, fields, compute, (text,)).drop("_gone")
+    return add_columns(joined, fields, compute, (text,)).drop("_gone", *(["_matches"] if extend else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op7: documents without repeated passages."""
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=True)
     gone = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.col("deduplicated").alias("text"))
