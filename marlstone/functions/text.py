@@ -162,9 +162,9 @@ def normalized(text: Column | str) -> Column:
     return F.when(bare == "", "").otherwise(F.concat(bare, F.lit("\n")))
 
 
-def terms(text: Column | str, first: int = 1_000_000) -> Column:
-    """Runs of letters, digits and underscores in lower case, from the first characters."""
-    return F.regexp_extract_all(F.lower(F.substring(col(text), 1, first)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+def terms(text: Column | str) -> Column:
+    """Runs of letters, digits and underscores in lower case."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
 def _folding() -> tuple[str, str]:
