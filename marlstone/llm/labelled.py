@@ -13,6 +13,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
+def usable_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label int) without rows that lack id or label and held-out ones; of several labels of an id the largest counts."""
+    return labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, *extra: str) -> tuple[DataFrame, dict[int, int]]:
     """(doc_id, text, *extra, label int) of per_class documents of each class at most, chosen by a hash of the
     id, and how many there are of each class.
@@ -20,7 +25,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Rows without id or label, and held-out ones, are left out; of several labels of an id the largest counts,
     of several documents one.
     """
-    usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    usable = usable_labels(labels, label)
     counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     chosen = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     texts = without(docs, "label").select("doc_id", "text", *extra)

@@ -9,8 +9,9 @@ place per filter, a step costs little however long a text is.
 
 The model is fitted in one task on a sample of ``PER_CLASS`` labelled documents of each class at most.
 A fifth of these isn't trained on; it serves to calibrate the logit (slope and offset, so that 0.5 is a
-fair cut) and a threshold for each language with ``LEAST`` toxic samples at least: the smallest one that leaves
-a share of ``PRECISION`` toxic among those above. Other languages take the threshold of all.
+fair cut). Thresholds come from the scores of all labelled rows that weren't trained on, counted in ``BINS``
+bins for each language: the smallest one that leaves a share of ``PRECISION`` toxic among those above. A language's own
+threshold is averaged with that of all, which weighs as much as ``LEAST`` toxic rows.
 
 Scores lie in 0..1 and depend on the text alone; a null or empty text has no words and gets the
 score of padding. Without labels of both classes every score is the share of ones, or 0.5.
@@ -29,11 +30,11 @@ from pyspark.sql import types as T
 
 from marlstone.llm.common import add_columns, kept_in_worker, map_batches
 from marlstone.llm.kernels import WORD_BYTES, U64, Rolling, lower_table, mix, text_bytes, word_spans
-from marlstone.llm.labelled import training_sample
+from marlstone.llm.labelled import training_sample, usable_labels
 
 BITS, DIM, FILTERS, WIDTHS, PREFIXES = 16, 12, 8, (1, 2, 3), (4, 6)
 PER_CLASS, EPOCHS, RATE = 3000, 4, 0.05
-PRECISION, LEAST = 0.97, 20
+PRECISION, LEAST, BINS = 0.97, 20, 1000
 #: Words whose responses are held at once when scoring.
 SLICE = 1 << 17
 
@@ -63,7 +64,6 @@ class Net:
             f[:, 0, 0] = 1.0 / len(f)
         self.out = np.full(FILTERS * len(WIDTHS), 0.1, np.float32)
         self.bias, self.slope, self.offset = 0.0, 1.0, 0.0
-        self.thresholds: dict[str, float] = {}
 
     def place(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Largest response of each filter in one padded text, and where."""
@@ -134,8 +134,8 @@ class Net:
             first = last
         return out @ self.out + self.bias
 
-    def calibrate(self, logits: np.ndarray, labels: np.ndarray, weights: np.ndarray, langs: np.ndarray) -> None:
-        """Fit slope and offset by Newton steps on the weighted samples, then the thresholds."""
+    def calibrate(self, logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
+        """Fit slope and offset by Newton steps on the weighted samples."""
         x = np.stack([logits, np.ones_like(logits)], axis=1).astype(np.float64)
         c = np.zeros(2)
         for _ in range(50):
@@ -144,24 +144,13 @@ class Net:
             step = np.linalg.solve(h, x.T @ (weights * (p - labels)) + c * 0.05)
             c -= np.clip(step, -1, 1)
         self.slope, self.offset = max(float(c[0]), 1e-3), float(c[1])
-        scores = self.scores(logits)
-        for lang in (None, *sorted({x for x in langs.tolist() if x is not None})):
-            own = np.array([lang is None or x == lang for x in langs.tolist()], bool)
-            if labels[own].sum() >= LEAST or lang is None:
-                order = np.argsort(-scores[own], kind="stable")
-                y, w, s = labels[own][order], weights[own][order], scores[own][order]
-                good = np.flatnonzero(np.cumsum(y * w) >= PRECISION * np.cumsum(w))
-                cut = good[-1] if len(good) else 0
-                below = s[cut + 1] if cut + 1 < len(s) else 0.0
-                self.thresholds["" if lang is None else lang] = float(np.clip((s[cut] + below) / 2, 0.05, 0.95)) if len(s) else 0.5
 
     def scores(self, logits: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * logits.astype(np.float64) + self.offset, -30, 30)))
 
     def packed(self) -> bytes:
         f = io.BytesIO()
-        langs = sorted(self.thresholds)
-        np.savez(f, words=self.words.astype(np.float16), out=self.out, numbers=np.array([self.bias, self.slope, self.offset]), langs=np.array(langs, dtype="U32"), cuts=np.array([self.thresholds[k] for k in langs]), **{f"f{i}": x for i, x in enumerate(self.filters)})
+        np.savez(f, words=self.words.astype(np.float16), out=self.out, numbers=np.array([self.bias, self.slope, self.offset]), **{f"f{i}": x for i, x in enumerate(self.filters)})
         return f.getvalue()
 
     @classmethod
@@ -169,31 +158,72 @@ class Net:
         net, f = cls(), np.load(io.BytesIO(content))
         net.words, net.out, net.filters = f["words"].astype(np.float32), f["out"], [f[f"f{i}"] for i in range(len(WIDTHS))]
         net.bias, net.slope, net.offset = map(float, f["numbers"])
-        net.thresholds = dict(zip(f["langs"].tolist(), f["cuts"].tolist(), strict=True))
         return net
 
 
 def constant(share: float) -> Net:
     """Gives every text this score."""
     net = Net()
-    net.words[:], net.out[:], net.slope, net.offset, net.thresholds = 0, 0, 1.0, float(np.log(share / (1 - share))), {"": 0.5}
+    net.words[:], net.out[:], net.slope, net.offset = 0, 0, 1.0, float(np.log(share / (1 - share)))
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", lang: str = "lang", per_class: int = PER_CLASS) -> bytes:
+def threshold(bins: list[tuple[int, float, float, int, int]], weights: tuple[float, float]) -> float:
+    """The cut for scores counted in bins (bin, least score, largest score, harmless rows, toxic rows)."""
+    if not bins:
+        return 0.5
+    bins = sorted(bins, reverse=True)
+    toxic = np.cumsum([x[4] * weights[1] for x in bins])
+    good = np.flatnonzero(toxic >= PRECISION * (toxic + np.cumsum([x[3] * weights[0] for x in bins])))
+    at = good[-1] if len(good) else 0
+    below = bins[at + 1][2] if at + 1 < len(bins) else 0.0
+    # no bin is clean: above the highest one's scores as far as they are known
+    return float(np.clip((bins[at][1] + below) / 2 if len(good) else bins[0][2], 0.05, 0.95))
+
+
+def thresholds(found: DataFrame, labels: DataFrame, trained: list[int], label: str = "toxic", lang: str = "lang") -> dict[str, float]:
+    """By language, and of all under an empty name, from the scores of all usable labelled rows that weren't trained on."""
+    usable = usable_labels(labels, label)
+    counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
+    ids = usable.sparkSession.createDataFrame([(i,) for i in trained], "doc_id long")
+    code = F.col(lang) if lang in found.columns else F.lit(None).cast("string")
+    # at most twice per_class ids
+    rows = found.select("doc_id", F.struct("score", code.cast("string").alias("lang")).alias("x")).join(usable.join(F.broadcast(ids), "doc_id", "left_anti"), "doc_id").groupBy("doc_id", "label").agg(F.min("x").alias("x"))
+    placed = rows.select("label", "x.*", F.floor(F.col("x.score") * BINS).alias("bin")).groupBy("lang", "bin").agg(F.min("score"), F.max("score"), F.count(F.when(F.col("label") == 0, 1)), F.count(F.when(F.col("label") == 1, 1)))
+    by: dict[str | None, list] = {}
+    every: dict[int, tuple] = {}
+    for code, *x in placed.collect():
+        by.setdefault(code, []).append(tuple(x))
+        old = every.get(x[0], (x[0], 1.0, 0.0, 0, 0))
+        every[x[0]] = (x[0], min(old[1], x[1]), max(old[2], x[2]), old[3] + x[3], old[4] + x[4])
+    # the two classes as they are among all labelled rows
+    weights = tuple(counts.get(k, 0) / max(sum(x[3 + k] for x in every.values()), 1) for k in (0, 1))
+    whole = threshold(list(every.values()), weights)
+    out = {"": whole}
+    for code, bins in sorted((k, v) for k, v in by.items() if k):
+        n = sum(x[4] for x in bins)
+        out[code] = (n * threshold(bins, weights) + LEAST * whole) / (n + LEAST)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> bytes:
     """The packed model; its size is fixed."""
-    sample, counts = training_sample(docs, labels, label, per_class, *([lang] if lang in docs.columns else []))
+    return fitted(docs, labels, label, per_class)[0]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> tuple[bytes, list[int]]:
+    """The packed model and the ids that it was trained on; none for a constant one."""
+    sample, counts = training_sample(docs, labels, label, per_class)
     if min(counts.get(0, 0), counts.get(1, 0)) == 0:
-        return constant(min(max(counts.get(1, 0) / sum(counts.values()), 1e-3), 1 - 1e-3) if counts else 0.5).packed()
+        return constant(min(max(counts.get(1, 0) / sum(counts.values()), 1e-3), 1 - 1e-3) if counts else 0.5).packed(), []
     weight = [max(1.0, counts[k] / per_class) for k in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
             at, starts = word_numbers(*text_bytes(b.column("text")))
-            langs = b.column(lang).to_pylist() if lang in b.schema.names else [None] * len(b)
-            for k, (i, y, code) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), langs, strict=True)):
-                rows.append((i, at[:, starts[k] : starts[k + 1] + max(WIDTHS) - 1].astype(np.int32), y, code))
+            for k, (i, y) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), strict=True)):
+                rows.append((i, at[:, starts[k] : starts[k + 1] + max(WIDTHS) - 1].astype(np.int32), y))
         rows.sort(key=lambda r: r[0])
         labels = np.array([r[2] for r in rows], np.int64)
         aside = np.zeros(len(rows), bool)
@@ -202,12 +232,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", lang: str =
         net = Net()
         net.train([r[1] for r, a in zip(rows, aside, strict=True) if not a], labels[~aside])
         logits = np.array([net.place(r[1])[0] @ net.out + net.bias for r, a in zip(rows, aside, strict=True) if a])
-        net.calibrate(logits, labels[aside], np.array(weight)[labels[aside]], np.array([r[3] for r, a in zip(rows, aside, strict=True) if a], object))
-        yield pa.RecordBatch.from_arrays([pa.array([net.packed()], pa.binary())], ["model"])
+        net.calibrate(logits, labels[aside], np.array(weight)[labels[aside]])
+        yield pa.RecordBatch.from_arrays([pa.array([net.packed()], pa.binary()), pa.array([[r[0] for r, a in zip(rows, aside, strict=True) if not a]], pa.list_(pa.int64()))], ["model", "trained"])
 
     # one task gets the sample, whose size is a parameter
-    made = map_batches(sample.coalesce(1), "model binary", run).first()
-    return bytes(made.model) if made else constant(0.5).packed()
+    made = map_batches(sample.coalesce(1), "model binary, trained array<long>", run).first()
+    return (bytes(made.model), list(made.trained)) if made else (constant(0.5).packed(), [])
 
 
 _models: dict[int, tuple[Net, list]] = {}
@@ -232,11 +262,11 @@ def scored(docs: DataFrame, model: bytes, text: str = "text", score: str = "scor
 
 def classify(docs: DataFrame, labels: DataFrame, lang: str = "lang", **parameters) -> DataFrame:
     """docs with score, predicted (1 from 0.5 on), and flagged: whether the score reaches the threshold of the text's language."""
-    model = train(docs, labels, lang=lang, **parameters)
-    cuts = Net.unpacked(model).thresholds
+    model, trained = fitted(docs, labels, **parameters)
+    out = scored(docs, model)
+    cuts = thresholds(out, labels, trained, parameters.get("label", "toxic"), lang) if trained else {"": 0.5}
     cut = F.lit(cuts[""])
     for code, value in cuts.items():
         if code and lang in docs.columns:
             cut = F.when(F.col(lang) == code, value).otherwise(cut)
-    out = scored(docs, model)
     return out.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "flagged": F.col("score") >= cut})
