@@ -22,9 +22,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id; of rows equal in id and text one."""
-    docs = docs.select(COLUMNS)
-    kept = superminhash.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    # a row's own verdict, as ids may be null or repeated
+    docs = docs.select(*COLUMNS, F.xxhash64("text").alias("_hash"))
+    kept = superminhash.near_duplicates(docs.select("doc_id", "text", "_hash"), carry=("_hash",)).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("_hash").alias("kept_hash")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash")), "left_semi").select(COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

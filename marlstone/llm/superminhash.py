@@ -116,18 +116,18 @@ def class_digests(shingles: np.ndarray, offsets: np.ndarray) -> list[bytes | Non
     return [digest[16 * k : 16 * k + 16] if offsets[k] < offsets[k + 1] else None for k in range(len(offsets) - 1)]
 
 
-def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def sketches(docs: DataFrame, key: str, text: str, size: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, n_shingles, class, bands): equal sets have equal classes, empty ones none."""
-    schema = T.StructType([docs.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema[key], *[docs.schema[c] for c in carry], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, text):
             shingles, offsets = shingle_sets(*text_bytes(batch.column(text)), size)
             bands = band_keys(signatures(shingles, offsets))
             classes = pa.array(class_digests(shingles, offsets), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(offsets)), classes, list_array(bands.ravel(), np.arange(len(batch) + 1) * BANDS, pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(key), *[batch.column(c) for c in carry], pa.array(np.diff(offsets)), classes, list_array(bands.ravel(), np.arange(len(batch) + 1) * BANDS, pa.int64())], schema.names)
 
-    return map_batches(docs.select(key, text), schema, run)
+    return map_batches(docs.select(key, text, *carry), schema, run)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -233,13 +233,13 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, columns to carry, n_shingles, component_id, kept) of every row.
 
     Sets are linked if 100 * common >= percent * all shingles; component_id is the smallest key that links
     reach, kept tells whether it is the row's own. Rows without a key are kept where no linked one has one.
     """
-    sketch = stored(sketches(docs, key, text, size))
+    sketch = stored(sketches(docs, key, text, size, carry))
     classes = sketch.filter("class is not null").groupBy("class").agg(F.min(key).alias("first"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes)
     rows = classes.select("class", "n", F.explode("bands").alias("bucket"))
@@ -252,4 +252,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     of_class = named.join(names, "root").select("class", "component_id")
     out = sketch.drop("bands").join(of_class, "class", "left")
     component = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("component_id"))
-    return out.select(key, "n_shingles", component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"))
+    return out.select(key, *carry, "n_shingles", component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"))
