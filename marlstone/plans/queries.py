@@ -235,6 +235,13 @@ def bm25_document(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.concat(x.terms(F.substring("text", 1, 200)), x.terms(x.metadata_text(about))).alias("terms"))
 
 
+@query()
+def bm25_document_whole(spark, sf):
+    """bm25_document over whole texts; that query's SQL reads their first 200 characters."""
+    about = F.from_json(F.to_json(F.struct(F.lit("document").alias("kind"), F.col("lang").alias("name"))), units.METADATA)
+    return table(spark, sf, "documents").select("doc_id", F.concat(x.terms("text"), x.terms(x.metadata_text(about))).alias("terms"))
+
+
 # vectors
 
 QUERY_VECTOR = [((k * 37) % 19 - 9) / 10 for k in range(64)]
