@@ -323,7 +323,16 @@ WORDS = lambda of: " or ".join(f"contains(lower(q), '{w}')" for w in of)  # noqa
 
 @query(rf"with t as (select doc_id, substr(text, 1, 40) q from documents) select doc_id, i intent, cast(w[1] as double) content, cast(w[2] as double) metadata, cast(w[3] as double) terms, cast(w[4] as double) graph from (select *, case i {' '.join(f"when '{k}' then {[float(v) for v in w]}" for k, w in fixed.INTENT_WEIGHTS.items())} end w from (select *, case when {WORDS(fixed.STRUCTURAL_WORDS)} then 'structural' when {WORDS(fixed.HISTORY_WORDS)} then 'history' when regexp_matches(q, '[_.]') or (regexp_matches(q, '\p{{Lu}}') and regexp_matches(q, '\p{{Ll}}')) then 'code' else 'conceptual' end i from t))")
 def intent_weights(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", x.intent(F.substring("text", 1, 40)).alias("intent"))
+    return weights_of(table(spark, sf, "documents").select("doc_id", x.intent(F.substring("text", 1, 40)).alias("intent")))
+
+
+@query()
+def intent_weights_whole(spark, sf):
+    """intent_weights over whole texts; that query's SQL reads their first 40 characters."""
+    return weights_of(table(spark, sf, "documents").select("doc_id", x.intent("text").alias("intent")))
+
+
+def weights_of(docs: DataFrame) -> DataFrame:
     weight = lambda k: F.element_at(F.create_map(*[F.lit(v) for name, w in fixed.INTENT_WEIGHTS.items() for v in (name, float(w[k]))]), F.col("intent"))
     return docs.select("doc_id", "intent", *[weight(k).alias(m) for k, m in enumerate(fusion.MODALITIES)])
 
@@ -676,6 +685,12 @@ def ordered_distinct(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.substring("text", 1, 300), " ")), " ").alias("terms"))
 
 
+@query()
+def ordered_distinct_whole(spark, sf):
+    """ordered_distinct over whole texts; that query's SQL reads their first 300 characters."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("terms"))
+
+
 @query("select subject, verb, object, case when s = 0 then 'src' else '_root' end partition_key from (select 'src.m' || c_nationkey || '.f' || c_custkey subject, 'calls' verb, 'x' as object, 0 s from customer union all select 'other.g' || s_suppkey, 'calls', 'y', 1 from supplier)")
 def triple_partitions(spark, sf):
     made = lambda rows, subject, target: rows.select(subject.alias("subject"), F.lit("calls").alias("verb"), F.lit(target).alias("object"))

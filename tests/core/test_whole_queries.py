@@ -15,3 +15,10 @@ def sf(spark, tmp_path_factory):
 def test_bm25_document_has_all_terms(spark, sf):
     got = {r.doc_id: r.terms for r in QUERIES["bm25_document_whole"](spark, sf).collect()}
     assert got == {k: ["filler"] * 60 + ["who", "calls", f"tail{k}", "document", "en"] for k in range(1, 41)}
+
+
+def test_late_words_are_listed_and_tell_the_intent(spark, sf):
+    got = {r.doc_id: r.terms for r in QUERIES["ordered_distinct_whole"](spark, sf).collect()}
+    assert got == {k: f"Filler who calls Tail{k}" for k in range(1, 41)}
+    assert {r.intent for r in QUERIES["intent_weights_whole"](spark, sf).collect()} == {"structural"}
+    assert {r.intent for r in QUERIES["intent_weights"](spark, sf).collect()} == {"code"}
