@@ -318,6 +318,44 @@ def search_projection(spark, sf):
     return fusion.shown(fusion.search(candidates(spark, sf), unit_chunks(spark, sf))).select("chunk_id", "score", "content")
 
 
+def all_candidates(spark, sf) -> DataFrame:
+    """The scores of candidates() without its filters: each document by content, metadata and terms, each unit by its best document."""
+    k = F.col("doc_id")
+    docs = table(spark, sf, "documents").select(k, F.concat(F.lit("u"), (k / 10).cast("long").cast("string")).alias("unit"))
+    one = lambda name, score: docs.select(F.lit(name).alias("modality"), k.cast("string").alias("id"), score.cast("double").alias("score"))
+    units_of = docs.groupBy(F.col("unit").alias("id")).agg(F.max((k * 15485863) % 100).cast("double").alias("score")).select(F.lit("graph").alias("modality"), "id", "score")
+    return one("content", (k * 7919) % 1000).unionByName(one("metadata", (k * 104729) % 1000)).unionByName(one("terms", (k * 1299709) % 1000)).unionByName(units_of)
+
+
+# the five queries above over whole tables; their SQL keeps documents of some ids only
+
+
+@query()
+def minmax_norm_whole(spark, sf):
+    return fusion.normalized_scores(all_candidates(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def graph_scores_of_chunks_whole(spark, sf):
+    graph_only = fusion.normalized_scores(all_candidates(spark, sf)).filter("modality = 'graph'")
+    return fusion.spread_to_chunks(graph_only, unit_chunks(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def fused_search_whole(spark, sf):
+    return fusion.search(all_candidates(spark, sf), unit_chunks(spark, sf)).select("chunk_id", F.round("score", 6).alias("score"), "source")
+
+
+@query()
+def fused_structural_whole(spark, sf):
+    return fusion.search(all_candidates(spark, sf), unit_chunks(spark, sf), None, fusion.weights_for("structural")).select("chunk_id", F.round("score", 6).alias("score"), "source")
+
+
+@query()
+def search_projection_whole(spark, sf):
+    return fusion.shown(fusion.search(all_candidates(spark, sf), unit_chunks(spark, sf))).select("chunk_id", "score", "content")
+
+
 WORDS = lambda of: " or ".join(f"contains(lower(q), '{w}')" for w in of)
 
 
