@@ -13,11 +13,13 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,34 +118,85 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it; in local runs one below the warehouse."""
     at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-        spark.sparkContext.setCheckpointDir(at)
     return at
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """df in an eighth of the usual partitions, for what is far smaller than the documents: fewer files and tasks."""
-    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+def _hadoop_path(spark: SparkSession, at: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def stored(df: DataFrame, small: bool = False) -> DataFrame:
+@contextmanager
+def configured(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session with other settings for a while; keys with __ for dots."""
+    old = {k: spark.conf.get(k, None) for k in (k.replace("__", ".") for k in values)}
+    for k, v in values.items():
+        spark.conf.set(k.replace("__", "."), v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage is cut, lost executors lose nothing.
 
-    Columnar and compressed, so smaller on disk than ``checkpoint()``. small: write few files.
+    Columnar and compressed, so smaller on disk than ``checkpoint()``. Shuffle files go once the table is
+    written. What ``dropped`` doesn't delete goes with the application.
     """
-    df = gathered(df) if small else df
-    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Spark deletes shuffle files once the driver has collected their plan, which it may not do for long
-    df.sparkSession.sparkContext._jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/stages-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        files, path = _hadoop_path(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    path = f"{root}/{uuid.uuid4().hex}"
+    with configured(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+_roots: set[str] = set()
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables that ``stored`` wrote; for those that nothing lazy reads any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = _hadoop_path(df.sparkSession, df.stored_at)
+        files.delete(path, True)
+
+
+#: Bits of the bitmaps that filter rows before they are shuffled: 16 MB, whatever the size of the corpus.
+BITMAP_BITS = 1 << 27
+
+
+def bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> Broadcast:
+    """A broadcast bitmap with the bit of each hash set; hashes: one long column.
+
+    Its size is a parameter, so a corpus that outgrows it lets more rows pass the filter, and none is lost.
+    """
+    # bits of the parts count from 1
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(bits)) + 1
+    # dealt by part first, as a partial bitmap of each task would be larger than its hashes
+    dealt = hashes.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).repartition("part")
+    parts = dealt.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+    found = np.zeros(max(bits // 8, 4096), np.uint8)
+    # at most bits / 32768 rows of 4 KB
+    for r in parts.collect():
+        at = (r.part - 1) * 4096
+        found[at : at + len(r.map)] = np.frombuffer(bytes(r.map), np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(found[: bits // 8].tobytes())
+
+
+def passes(shared: Broadcast, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (64 bits) have their bit set."""
+    found = np.frombuffer(shared.value, np.uint8)
+    place = hashes.view(np.uint64) % np.uint64(8 * len(found))
+    return found[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1

@@ -8,7 +8,6 @@ import pyarrow as pa
 U64 = np.uint64
 #: Odd multipliers of the polynomial fingerprint and the mixing steps.
 BASE, MIX_1, MIX_2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -55,11 +54,11 @@ class Rolling:
     hundred bytes are far below the length at which such sums modulo 2**64 collide by construction.
     """
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: np.uint64 = BASE):
         n = len(data)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * powers(n), out=self.sums[1:])
-        self.back = powers(n + 1, _INVERSE)
+        np.cumsum((data.astype(U64) + U64(1)) * powers(n, base), out=self.sums[1:])
+        self.back = powers(n + 1, U64(pow(int(base), -1, 1 << 64)))
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])

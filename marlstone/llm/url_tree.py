@@ -83,7 +83,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     seen = seen.withColumns({"rule": rule, "listed": listed, "shape": shape_of(F.col("path"))})
     shapes = seen.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(F.when(F.col("listed") == "block", 1)).alias("blocked"), F.count("listed").alias("labelled"))
     # few rows next to the pages, and each level reads them again
-    placed = stored(templates(stored(shapes, small=True)), small=True)
+    placed = stored(templates(stored(shapes)))
     rejected = placed.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).select("host", "template", F.when(share(F.col("b"), F.col("l")) >= REJECT, "block").otherwise("allow").alias("method"))
     verdicts = placed.join(rejected, ["host", "template"]).select("host", "shape", "template", "method")
     return seen.join(verdicts, ["host", "shape"], "left").withColumn("verdict", F.coalesce("listed", "method")).drop("shape", "listed", "method")

@@ -9,8 +9,8 @@ from marlstone.llm.kernels import text_bytes
 GEAR = cd.gear_table().tolist()
 
 
-def slow_chunks(b: bytes):
-    """(start, end) of each chunk, byte by byte."""
+def slow_cuts(b: bytes):
+    """Ends of chunks that the content decides on, byte by byte."""
     h, ends, last = 0, [], None
     for i, x in enumerate(b):
         h = (h << 1) + GEAR[x] & 0xFFFFFFFF
@@ -18,7 +18,12 @@ def slow_chunks(b: bytes):
             if last is None or i + 1 - last >= cd.LEAST:
                 ends.append(i + 1)
             last = i + 1
-    out = []
+    return ends
+
+
+def slow_chunks(b: bytes):
+    """(start, end) of each chunk."""
+    out, ends = [], slow_cuts(b)
     for a, e in zip([0, *ends], [*ends, len(b)], strict=True):
         while e - a > cd.MOST:
             out.append((a, a + cd.MOST))
@@ -28,32 +33,51 @@ def slow_chunks(b: bytes):
     return out
 
 
+def slow_growth(own: bytes, other: bytes, a: int, e: int, d: int):
+    """own[a:e] is other[a + d:e + d]; both grow while they agree, within the bounds that the docstring names."""
+    cuts = [0, *slow_cuts(other), len(other)]
+    low = max([c for c in cuts if c < a + d], default=0) - 39
+    begins = [c for c in cuts if c >= min(e + d + 40, len(other))]
+    high = min([c for c in begins if c > begins[0]], default=len(other))
+    while a > 0 and a + d > max(low, 0) and own[a - 1] == other[a + d - 1]:
+        a -= 1
+    while e < len(own) and e + d < high and own[e] == other[e + d]:
+        e += 1
+    return a, e
+
+
 def brute(rows, run=cd.RUN):
-    first, twice = {}, set()
-    every = sorted(((-(2**63) if i is None else i), k, a, e) for k, (i, t) in enumerate(rows) for a, e in slow_chunks((t or "").encode()))
-    for _, k, a, e in every:
-        c = (rows[k][1] or "").encode()[a:e]
-        if c in first:
-            twice.add((k, a, e))
-        else:
-            first[c] = True
-    for k, (i, t) in enumerate(rows):
-        b, spans = (t or "").encode(), []
+    rows = sorted(rows, key=lambda r: -(2**63) if r[0] is None else r[0])
+    first = {}
+    for i, t in rows:
+        b, seeds = (t or "").encode(), []
         for a, e in slow_chunks(b):
-            if (k, a, e) in twice:
-                if spans and spans[-1][1] == a:
-                    spans[-1][1] = e
-                else:
-                    spans.append([a, e])
-        space = b" \t\n\x0b\x0c\r"
-        done = []
+            if b[a:e] in first:
+                seeds.append((a, e, *first[b[a:e]]))
+            else:
+                first[b[a:e]] = b, a
+        blocks, matches = [], {}
+        for a, e, other, at in seeds:
+            if blocks and blocks[-1][1] == a:
+                blocks[-1][1] = e
+            else:
+                blocks.append([a, e])
+            one = matches.setdefault((len(blocks), id(other), at - a), [a, e, other, at - a])
+            one[1] = e
+        spans = sorted([*map(tuple, blocks), *(slow_growth(b, other, a, e, d) for a, e, other, d in matches.values())])
+        gone = [False] * len(b)
         for a, e in spans:
-            if e - a < run:
-                continue
+            if e - a >= run:
+                gone[a:e] = [True] * (e - a)
+        space, done = b" \t\n\x0b\x0c\r", []
+        edges = [k for k in range(len(b) + 1) if (k > 0 and gone[k - 1]) != (k < len(b) and gone[k])]
+        for a, e in zip(edges[::2], edges[1::2], strict=True):
             while 0 < a < e and b[a] not in space and b[a - 1] not in space:
                 a += 1
             while a < e < len(b) and b[e] not in space and b[e - 1] not in space:
                 e -= 1
+            if 0 < a < e < len(b) and b[a - 1] not in space and b[e] not in space:
+                a += 1
             if a < e:
                 done.append((a, e))
         kept = b"".join(b[x:y] for x, y in zip([0, *(e for _, e in done)], [*(a for a, _ in done), len(b)], strict=True))
