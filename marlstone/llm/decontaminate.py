@@ -7,11 +7,12 @@ places of it. A window (``width`` consecutive words of an item, or the whole of
 occurs marks the document's words it covers.
 
 The benchmark goes to the tasks in blocks of bounded size; a larger one takes more passes over the
-documents, one after another in the same stage, never a shuffle of the documents.
+documents, a few of them in one stage, never a shuffle of the documents.
 
 Words: runs of digits, ASCII letters (A-Z as a-z) and characters beyond ASCII. Null and empty texts
 have no words, nor items and hits. Repeated items count once; an item with a null id marks words but
-isn't listed.
+isn't listed. Repeated documents each get a row, an empty table an empty one, and columns with
+the names of computed ones give way, except in ``decontaminate``, which returns the columns it got.
 """
 
 from __future__ import annotations
@@ -24,16 +25,19 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, kept_in_worker, map_batches
+from marlstone.llm.common import add_columns, kept_in_worker, map_batches, stored, without
 from marlstone.llm.kernels import spread
 
 WIDTH = 10
 #: Bytes of benchmark text that one pass holds.
 BLOCK_BYTES = 8 << 20
+#: Passes in one stage, each with a block and Python workers of its own; the table is stored in between.
+AT_ONCE = 4
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -134,15 +138,9 @@ class Shard:
             low, high = np.where(right, middle + 1, low), np.where(open_ & ~right, middle, high)
         return low
 
-    def search(self, test: TestSuffixes):
-        """For each suffix the length of its longest match and its interval; windows found as (suffixes, low, high); and
-
-        for each length from the least window on, the intervals of all suffixes that match so far.
-        """
-        n = len(test.start)
-        longest = np.zeros(n, np.int32)
-        active, low, high = np.arange(n), np.zeros(n, np.int64), np.full(n, len(self.sorted), np.int64)
-        windows, places, by_length = [], (np.zeros(n, np.int64), np.zeros(n, np.int64)), []
+    def search(self, test: TestSuffixes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, suffixes, low, high) for each length: the test suffixes that match so far, and their intervals."""
+        active, low, high = np.arange(len(test.start)), np.zeros(len(test.start), np.int64), np.full(len(test.start), len(self.sorted), np.int64)
         depth = 0
         while len(active):
             word = test.words[test.start[active] + depth]
@@ -150,16 +148,9 @@ class Shard:
             found = a < b
             active, low, high = active[found], a[found], b[found]
             depth += 1
-            longest[active] = depth
-            places[0][active], places[1][active] = low, high
-            if depth >= test.least and len(active):
-                by_length.append((depth, low, high))
-            done = test.search_window[active] & (test.window[active] == depth)
-            if done.any():
-                windows.append((active[done], low[done], high[done]))
+            yield depth, active, low, high
             more = test.left[active] > depth
             active, low, high = active[more], low[more], high[more]
-        return longest, places, windows, by_length
 
 
 _blocks: dict[str, TestSuffixes] = {}
@@ -174,25 +165,44 @@ def _block(shared, key: str, width: int) -> TestSuffixes:
 
 
 def find_matches(words: np.ndarray, offsets: np.ndarray, test: TestSuffixes):
-    """Per document: hit flags of all words, longest match, set of items (as (document, window number) pairs)."""
+    """Per document: hit flags of all words, longest match, set of items (as (document, window number) pairs).
+
+    Memory grows with words and test suffixes, not with their product: of equal windows one is searched, and of the
+    suffixes that match alike at a length one interval is looked at and let go.
+    """
     n_docs = len(offsets) - 1
     hit = np.zeros(len(words) + 1, np.int64)
     longest = np.zeros(n_docs, np.int32)
-    pairs = np.zeros((0, 2), np.int64)
+    pairs = [np.zeros((0, 2), np.int64)]
     shard = Shard(words, offsets, test.least, test.deepest)
     if len(shard.sorted) and len(test.start):
-        _, _, windows, by_length = shard.search(test)
-        for length, low, high in by_length:
-            one, place = spread(high - low)
-            longest[np.searchsorted(offsets, shard.at[shard.sorted[low[one] + place]], "right") - 1] = length
-        for suffixes, low, high in windows:
-            one, place = spread(high - low)
-            position = shard.at[shard.sorted[low[one] + place]]
-            hit += np.bincount(position, minlength=len(hit))
-            hit -= np.bincount(position + test.window[suffixes][one], minlength=len(hit))
-            found = np.stack([np.searchsorted(offsets, position, "right") - 1, test.number[suffixes][one]], axis=1)
-            pairs = np.concatenate([pairs, np.unique(found, axis=0)])
-    return np.cumsum(hit)[: len(words)] > 0, longest, pairs
+        position = shard.at[shard.sorted]
+        doc = np.searchsorted(offsets, position, "right") - 1
+        for length, active, low, high in shard.search(test):
+            if length < test.least:
+                continue
+            low_, high_ = np.divmod(np.unique(low * (len(position) + 1) + high), len(position) + 1)
+            one, place = spread(high_ - low_)
+            longest[doc[low_[one] + place]] = length
+            done = test.search_window[active] & (test.window[active] == length)
+            one, place = spread(high[done] - low[done])
+            at = low[done][one] + place
+            hit += np.bincount(position[at], minlength=len(hit))
+            hit -= np.bincount(position[at] + length, minlength=len(hit))
+            pairs.append(np.unique(np.stack([doc[at], test.number[active[done]][one]], axis=1), axis=0))
+    return np.cumsum(hit)[: len(words)] > 0, longest, np.concatenate(pairs)
+
+
+def least_within(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minimum of value[low:high] for each pair; intervals aren't empty. Minima of twice as long stretches in each step."""
+    out = np.zeros(len(low), value.dtype)
+    wide = np.floor(np.log2(np.maximum(high - low, 1))).astype(np.int64)
+    table = value
+    for k in range(int(wide.max(initial=-1)) + 1):
+        of = wide == k
+        out[of] = np.minimum(table[low[of]], table[high[of] - (1 << k)])
+        table = np.minimum(table[: -(1 << k)], table[1 << k :]) if len(table) > 1 << k else table
+    return out
 
 
 def numbered(column: pa.Array, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +228,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     """For every test suffix with a match of a window's length or more: the longest one in any document, and where.
 
     (item_id string, item_word int, length int, key, word int): of equally long ones, that of the smallest key
-    and word. What shards find is combined before it is shuffled.
+    (null first) and word. Each shard gives one place for a suffix, however often it occurs there.
     """
     schema = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField(key, docs.schema[key].dataType), T.StructField("word", T.IntegerType())])
     found = []
@@ -227,18 +237,20 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 test = _block(shared, name, width)
+                order = pc.sort_indices(batch, [(key, "ascending")], null_placement="at_start")
+                batch = batch.take(order)
                 words, offsets = numbered(batch.column(text), test)
                 shard = Shard(words, offsets, test.least, test.deepest)
                 if not len(shard.sorted) or not len(test.start):
                     continue
-                longest, (low, high), _, _ = shard.search(test)
-                suffixes = np.flatnonzero(longest >= test.least)
-                one, place = spread((high - low)[suffixes])
-                at = shard.at[shard.sorted[low[suffixes][one] + place]]
+                longest, low, high = (np.zeros(len(test.start), np.int64) for _ in range(3))
+                for length, active, a, b in shard.search(test):
+                    longest[active], low[active], high[active] = length, a, b
+                suffix = np.flatnonzero(longest >= test.least)
+                # documents are in the order of their keys, so the first place is the smallest
+                at = least_within(shard.at[shard.sorted], low[suffix], high[suffix])
                 doc = np.searchsorted(offsets, at, "right") - 1
-                suffix = suffixes[one]
-                item = np.array(test.item_of)[suffix]
-                yield pa.RecordBatch.from_arrays([pa.array([test.item_ids[i] for i in item], pa.string()), pa.array(test.place[suffix], pa.int32()), pa.array(longest[suffix]), batch.column(key).take(pa.array(doc)), pa.array(at - offsets[doc], pa.int32())], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([test.item_ids[i] for i in test.item_of[suffix]], pa.string()), pa.array(test.place[suffix], pa.int32()), pa.array(longest[suffix], pa.int32()), batch.column(key).take(pa.array(doc)), pa.array(at - offsets[doc], pa.int32())], schema.names)
 
         found.append(map_batches(docs.select(key, text), schema, run))
     every = reduce(DataFrame.unionByName, found)
@@ -253,7 +265,14 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     shortest window at least, else 0; hit_spans: maximal runs of words inside occurrences of windows;
     hit_items: items with such windows, sorted.
     """
+    live = []
     for k, (shared, name) in enumerate(_shared_blocks(benchmark, item_id, item_text, block_bytes)):
+        if len(live) == AT_ONCE:
+            docs = stored(docs)
+            for done in live:
+                done.unpersist()
+            live.clear()
+        live.append(shared)
         docs = _one_pass(docs, shared, name, text, width, first=k == 0)
     return docs
 
@@ -288,6 +307,9 @@ def _one_pass(docs: DataFrame, shared, name: str, text: str, width: int, first:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs without those that hold a window of a benchmark item; other columns stay as they are."""
-    kept = with_matches(docs, benchmark, **parameters).filter(F.size("hit_spans") == 0)
-    made = {f.name for f in FIELDS}
-    return kept.select(*[f"`{c}`" for c in docs.columns if c not in made])
+    plain = without(docs, *[f.name for f in FIELDS])
+    if len(plain.columns) == len(docs.columns):
+        return with_matches(docs, benchmark, **parameters).filter(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # columns that have the names of computed ones are kept aside
+    renamed = docs.toDF(*[f"_{k}_{c}" if c not in plain.columns else c for k, c in enumerate(docs.columns)])
+    return with_matches(renamed, benchmark, **parameters).filter(F.size("hit_spans") == 0).select(*[F.col(f"`{c}`").alias(d) for c, d in zip(renamed.columns, docs.columns, strict=True)])

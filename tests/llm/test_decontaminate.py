@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from marlstone.llm import decontaminate as dc
 from marlstone.llm import op2
@@ -119,6 +121,38 @@ def test_longest_matches_and_places(spark):
     assert got == {k: (-n, doc, j) for k, (n, doc, j) in want.items()} and got
 
 
+def test_short_items_and_common_words(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["the", "of", "and", *(f"w{k}" for k in range(12))]) for _ in range(n))
+    items = [(k, say(k % 10 + 1)) for k in range(40)] + [(40, "the"), (41, "THE"), (42, "of the")]
+    docs = [(k, say(rng.randint(0, 60))) for k in range(25)]
+    check(spark, docs, items)
+    check(spark, docs, items, block_bytes=40)
+
+
+def test_one_word_item_costs_no_product():
+    """Items times occurrences would be 800 * 20 000 places, of 8 bytes and more each."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join("the" if r < 0.1 else f"w{int(r * 5000)}" for r in rng.random(500)) for _ in range(400)]
+    items = [("x", b"the")] + [(str(k), " ".join(["the", *(f"v{j}" for j in rng.integers(0, 5000, 30)), "the", "the"]).encode()) for k in range(800)]
+    test = dc.TestSuffixes(items, 10)
+    words_, offsets = dc.numbered(pa.array(texts), test)
+    tracemalloc.start()
+    hit, longest, pairs = dc.find_matches(words_, offsets, test)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit.sum() == sum(t.split().count("the") for t in texts) and longest.min() >= 1 and len(pairs) == 400
+    assert peak < 60 << 20
+
+
+def test_least_within():
+    rng = np.random.default_rng(4)
+    value = rng.integers(0, 1000, 77)
+    low = rng.integers(0, 77, 300)
+    high = low + 1 + (rng.random(300) * (77 - low)).astype(int).clip(0, 76 - low)
+    assert dc.least_within(value, low, high).tolist() == [value[a:b].min() for a, b in zip(low, high, strict=True)]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "one two", 5), (1, "one two", 5), (None, None, 6)], "doc_id long, text string, N_WORDS int")
     none = spark.createDataFrame([], "item_id long, text string")
@@ -128,6 +162,8 @@ def test_edges(spark):
     rows = dc.with_matches(docs.select("doc_id", "text"), one).collect()
     assert [(len(r.hit_spans), r.hit_items) for r in rows] == [(1, []), (1, []), (0, [])]
     assert dc.decontaminate(docs.select("doc_id", "text"), one).count() == 1
+    left = dc.decontaminate(docs, one)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(None, None, 6)]
 
 
 def test_query(spark):
