@@ -1,4 +1,4 @@
-"""A thin command line: index a folder, search it, summarise it, list operators.
+"""A thin command line: index a folder or bring an index up to date, step by step or at once; search it, summarise it, keep hints, list operators.
 
 Exit codes: 2 for bad arguments and searches without results, 3 for a missing index.
 """
@@ -8,11 +8,13 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from marlstone.operators import fts, handles, materialize, sync
+from marlstone.operators import fts, hints, units
+from marlstone.plans.library import Library
 from marlstone.plans.registry import default_registry
 from marlstone.sources import files
 
@@ -22,14 +24,8 @@ def session() -> SparkSession:
 
 
 def index(spark: SparkSession, root: str, target: str, most: int = 2000) -> dict:
-    """Handles, Markdown, chunks and the term index of a folder, written below target."""
-    found = files.corpus(spark, root).withColumn("content", files.text_content("content"))
-    refs = handles.file_refs(found)
-    derived = handles.put(materialize.extracted(refs.drop("label").withColumn("label", F.col("path")).join(found.select("path", "content"), "path")))
-    refs.write.mode("overwrite").parquet(f"{target}/files")
-    derived.write.mode("overwrite").parquet(f"{target}/derivatives")
-    materialize.chunks(spark.read.parquet(f"{target}/derivatives"), "paragraph_chunks", most).write.mode("overwrite").parquet(f"{target}/chunks")
-    fts.write_index(fts.build_index(spark.read.parquet(f"{target}/chunks")), f"{target}/index")
+    """Handles, Markdown, chunks and the term index of a folder, written below target, or brought up to date there."""
+    Library(spark, target).update(root, most=most)
     return {t: spark.read.parquet(f"{target}/{t}").count() for t in ("files", "derivatives", "chunks")}
 
 
@@ -40,11 +36,29 @@ def search(spark: SparkSession, target: str, query: str, limit: int = 10) -> lis
 
 
 def summary(spark: SparkSession, target: str) -> list[dict]:
-    columns = ["kind", "media_type", "derivative_type", "index_state"]
-    refs, derived, chunks = (spark.read.parquet(f"{target}/{t}") for t in ("files", "derivatives", "chunks"))
-    edges = derived.select(F.lit("derived_from").alias("edge_type"))
-    found = sync.summary(refs.select(columns).unionByName(derived.select(columns)), edges, refs.select(F.lit("active").alias("status")), chunks)
-    return [r.asDict() for r in found.orderBy("what", "value").collect()]
+    return [r.asDict() for r in Library(spark, target).summary().orderBy("what", "value").collect()]
+
+
+def hint(spark: SparkSession, target: str, action: str, value: str, at: str) -> list[dict]:
+    """Add a hint, delete the one of an id, clear all, or list the active ones."""
+    library = Library(spark, target)
+    log = library.read("hints", hints.SCHEMA)
+    if action != "list":
+        new = hints.add(log, value, at) if action == "add" else hints.delete(log, int(value), at) if action == "delete" else hints.clear(log, at)
+        log = library.replace("hints", new)
+    return [r.asDict() for r in log.filter("status = 'active'").orderBy("id").collect()]
+
+
+def shown_units(path: str) -> list[dict]:
+    """The units of one file, as they are parsed."""
+    content = Path(path).read_text(encoding="utf-8", errors="replace")
+    found = units.python_units(content, path) if path.endswith(".py") else units._fallback(content, path)
+    return [{"unit_id": r[0], "kind": r[3], "start_line": r[4], "end_line": r[5]} for r in found]
+
+
+def doctor() -> dict[str, str]:
+    """Versions of what the library runs on."""
+    return {m: __import__(m).__version__ for m in ("pyspark", "pyarrow", "numpy")} | {"python": sys.version.split()[0]}
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -57,6 +71,17 @@ def main(arguments: list[str] | None = None) -> int:
             p.add_argument(x)
         if name == "search":
             p.add_argument("--limit", type=int, default=10)
+    steps = commands.add_parser("sync")
+    steps.add_argument("step", choices=["sources", "extract", "materialize", "summary", "run"])
+    steps.add_argument("target")
+    steps.add_argument("root", nargs="?")
+    notes = commands.add_parser("hints")
+    notes.add_argument("action", choices=["add", "list", "delete", "clear"])
+    notes.add_argument("target")
+    notes.add_argument("value", nargs="?", default="")
+    commands.add_parser("units").add_argument("path")
+    commands.add_parser("cleanup").add_argument("target")
+    commands.add_parser("doctor")
     tools = commands.add_parser("tools")
     tools.add_argument("name", nargs="?")
     tools.add_argument("arguments", nargs="?", default="{}")
@@ -65,7 +90,23 @@ def main(arguments: list[str] | None = None) -> int:
         registry = default_registry("extensions")
         print(json.dumps(registry.call(got.name, got.arguments) if got.name else registry.names()))
         return 0
+    if got.command in ("doctor", "units"):
+        print(json.dumps(doctor() if got.command == "doctor" else shown_units(got.path)))
+        return 0
     spark = session()
+    if got.command == "sync":
+        library = Library(spark, got.target)
+        if got.step in ("sources", "run") and not got.root:
+            parser.error(f"sync {got.step} needs a root")
+        done = {"sources": lambda: library.sources(got.root), "extract": library.extract, "materialize": library.materialize, "run": lambda: library.update(got.root), "summary": lambda: summary(spark, got.target)}[got.step]()
+        print(json.dumps(done))
+        return 0
+    if got.command == "hints":
+        print(json.dumps(hint(spark, got.target, got.action, got.value, datetime.now(timezone.utc).isoformat(timespec="seconds"))))
+        return 0
+    if got.command == "cleanup":
+        Library(spark, got.target).cleanup()
+        return 0
     if got.command == "index":
         print(json.dumps(index(spark, got.root, got.target)))
         return 0

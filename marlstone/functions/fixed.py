@@ -2,12 +2,12 @@
 
 #: Media types by suffix; the code map is looked up first, by the suffix as it is and in lower case.
 CODE_MEDIA = {
-    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "jsx", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "tsx",
-    ".css": "css", ".scss": "scss", ".sass": "sass", ".less": "less", ".vue": "vue", ".svelte": "svelte", ".astro": "astro", ".java": "java",
-    ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".rs": "rust", ".go": "go", ".rb": "ruby", ".php": "php", ".swift": "swift",
-    ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".fish": "shell", ".sql": "sql", ".r": "r", ".R": "r",
-    ".jl": "julia", ".lua": "lua", ".pl": "perl", ".ex": "elixir", ".exs": "elixir", ".erl": "erlang", ".hrl": "erlang", ".fs": "fsharp", ".fsx": "fsharp", ".cs": "csharp",
-    ".clj": "clojure", ".cljs": "clojure", ".hs": "haskell", ".ml": "ocaml", ".mli": "ocaml",
+    ".py": "text/x-code-python", ".pyi": "text/x-code-python", ".js": "text/x-code-javascript", ".jsx": "text/x-code-jsx", ".mjs": "text/x-code-javascript", ".cjs": "text/x-code-javascript", ".ts": "text/x-code-typescript", ".tsx": "text/x-code-tsx",
+    ".css": "text/x-code-css", ".scss": "text/x-code-scss", ".sass": "text/x-code-sass", ".less": "text/x-code-less", ".vue": "text/x-code-vue", ".svelte": "text/x-code-svelte", ".astro": "text/x-code-astro", ".java": "text/x-code-java",
+    ".c": "text/x-code-c", ".h": "text/x-code-c", ".cpp": "text/x-code-cpp", ".cc": "text/x-code-cpp", ".cxx": "text/x-code-cpp", ".hpp": "text/x-code-cpp", ".rs": "text/x-code-rust", ".go": "text/x-code-go", ".rb": "text/x-code-ruby", ".php": "text/x-code-php", ".swift": "text/x-code-swift",
+    ".kt": "text/x-code-kotlin", ".kts": "text/x-code-kotlin", ".scala": "text/x-code-scala", ".sh": "text/x-code-shell", ".bash": "text/x-code-shell", ".zsh": "text/x-code-shell", ".fish": "text/x-code-shell", ".sql": "text/x-code-sql", ".r": "text/x-code-r", ".R": "text/x-code-r",
+    ".jl": "text/x-code-julia", ".lua": "text/x-code-lua", ".pl": "text/x-code-perl", ".ex": "text/x-code-elixir", ".exs": "text/x-code-elixir", ".erl": "text/x-code-erlang", ".hrl": "text/x-code-erlang", ".fs": "text/x-code-fsharp", ".fsx": "text/x-code-fsharp", ".cs": "text/x-code-csharp",
+    ".clj": "text/x-code-clojure", ".cljs": "text/x-code-clojure", ".hs": "text/x-code-haskell", ".ml": "text/x-code-ocaml", ".mli": "text/x-code-ocaml",
 }
 TEXT_MEDIA = {
     ".md": "text/markdown", ".markdown": "text/markdown", ".mdx": "text/markdown", ".txt": "text/plain", ".html": "text/html", ".htm": "text/html",
@@ -53,10 +53,14 @@ JS_SYMBOLS = (
 
 #: Shapes of nodes in flowcharts.
 SHAPES = {"class": ("[", "]"), "module": ("[[", "]]"), "function": ("(", ")"), "method": ("(", ")"), "import": ("{{", "}}")}
-MAX_NODES, MAX_EDGES, MAX_LABEL = 500, 2000, 60
+MAX_NODES, MAX_EDGES, MAX_LABEL, MAX_LEVELS = 500, 2000, 60, 100
 
 #: What is made of each kind of derivative: table, and whether chunks of text go to the term index.
 MATERIALIZERS = {
     "extracted_markdown": "paragraph_chunks", "table": "table_store", "figure": "figure_index", "image": "image_registry",
     "reference": "reference_graph", "code_symbol": "code_graph", "style_rule": "style_rule_index",
 }
+#: Texts of table cells that are numbers, after commas have gone.
+INTEGER, REAL = r"[-+]?\d+", r"[-+]?(?:\d+\.\d*|\d*\.\d+|\d+)(?:[eE][-+]?\d+)?"
+#: Lines of Markdown: the title of a list of references, the start of an entry, any heading.
+REFERENCES_TITLE, ENTRY_START, ANY_HEADING = r"^\s*(?:#{1,6}\s*)?(?:references|bibliography)\s*$", r"^\s*(?:[-*]|\[?\d+\]?\.?|\d+\))\s+", r"^\s*#{1,6}\s+"

@@ -38,7 +38,7 @@ def is_text_file(path: Column | str) -> Column:
 
 
 def media_type(path: Column | str) -> Column:
-    code = {k: f"text/x-code-{v}" for k, v in fixed.CODE_MEDIA.items()}
+    code = fixed.CODE_MEDIA
     own, low = suffix(path), F.lower(suffix(path))
     known = {k: v for k, v in mimetypes.MimeTypes(filenames=()).types_map[1].items() if k not in fixed.TEXT_MEDIA and k not in code}
     return F.coalesce(lookup(code, own), lookup(code, low), lookup(fixed.TEXT_MEDIA, low), lookup(known, low), F.lit("application/octet-stream"))

@@ -6,38 +6,74 @@ and what locates the chunk in its text. Null and blank texts have no chunks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from marlstone.functions.text import col, normalized, strip, terms
+from marlstone.functions.text import normalized, terms
 
-PACKED = "array<struct<body:string,first:int,last:int>>"
+PARAGRAPH_END, SENTENCE_END = re.compile(r"\n[ \t\n\x0b\f\r]*\n"), re.compile(r"(?<=[.!?])\s+")
+HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 
 
-def pack(parts: Column, most: int, joint: str) -> Column:
-    """Join neighbours greedily while the result has at most ``most`` characters; a longer part stays whole."""
-    nothing = F.struct(F.array().cast(PACKED).alias("done"), F.lit(None).cast("string").alias("body"), F.lit(0).alias("first"), F.lit(0).alias("next"))
-    closed = lambda s: F.struct(s["body"].alias("body"), s["first"].alias("first"), (s["next"] - 1).alias("last"))
+def per_text(df: DataFrame, text: str, schema: str, rows: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """The columns of df with those of schema, for each row that ``rows`` makes of a text; null texts make none.
 
-    def step(s: Column, x: Column) -> Column:
-        full = s["body"].isNotNull() & (F.length(s["body"]) + len(joint) + F.length(x) > most)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(closed(s)))).otherwise(s["done"]).alias("done"),
-            F.when(s["body"].isNull() | full, x).otherwise(F.concat(s["body"], F.lit(joint), x)).alias("body"),
-            F.when(full, s["next"]).otherwise(s["first"]).alias("first"), (s["next"] + 1).alias("next"),
-        )
+    Columns of df with the names of new ones give way. Folds over the lines of a text are linear here, while as
+    expressions they copy what they have so far at each step.
+    """
+    new = T._parse_datatype_string(schema)
+    made_names = {f.name.lower() for f in new.fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in made_names]
+    types = to_arrow_schema(new)
 
-    return F.aggregate(parts, nothing, step, lambda s: F.when(s["body"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(closed(s)))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, made = [], []
+            for k, said in enumerate(batch.column(text).to_pylist()):
+                for row in rows(said) if said is not None else ():
+                    at.append(k)
+                    made.append(row)
+            of = pa.array(at, pa.int64())
+            columns = list(zip(*made, strict=True)) if made else [[] for _ in types.names]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(of) for f in kept), *(pa.array(c, types.field(i).type) for i, c in enumerate(columns))], [*(f.name for f in kept), *types.names])
 
+    return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
+
+
+def _normal(text: str) -> str:
+    bare = re.sub("\r\n?", "\n", text).strip()
+    return f"{bare}\n" if bare else ""
+
+
+def _some(parts: list[str]) -> list[str]:
+    return [p for p in (p.strip() for p in parts) if p]
+
+
+def pack(parts: list[str], most: int, joint: str) -> Iterator[tuple[str, int, int]]:
+    """(text, first, last part) of neighbours joined greedily while the result has at most ``most`` characters; a longer part stays whole."""
+    first, size = 0, 0
+    for k, p in enumerate(parts):
+        if k > first and size + len(joint) + len(p) > most:
+            yield joint.join(parts[first:k]), first, k - 1
+            first, size = k, len(p)
+        else:
+            size += len(p) + (len(joint) if k > first else 0)
+    if parts:
+        yield joint.join(parts[first:]), first, len(parts) - 1
 
-def _exploded(df: DataFrame, packed: Column, kind: str, unit: str, end: str = "\n") -> DataFrame:
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.select(*kept, F.posexplode(packed).alias("ordinal", "_c"))
-    return rows.select(*kept, "ordinal", F.lit(kind).alias("chunk_type"), F.concat("_c.body", F.lit(end)).alias("content"), F.col("_c.first").alias(f"start_{unit}"), F.col("_c.last").alias(f"end_{unit}"))
 
+def _packed(df: DataFrame, text: str, cut: Callable[[str], list[str]], most: int, joint: str, unit: str) -> DataFrame:
+    def rows(said: str) -> Iterator[tuple]:
+        for k, (body, first, last) in enumerate(pack(_some(cut(_normal(said))), most, joint)):
+            yield k, f"text/{unit}", f"{body}\n", first, last
 
-def _parts(text: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(text, pattern), strip), lambda p: p != "")
+    return per_text(df, text, f"ordinal int, chunk_type string, content string, start_{unit} int, end_{unit} int", rows)
 
 
 def full_text_chunks(df: DataFrame, text: str = "text") -> DataFrame:
@@ -46,73 +82,67 @@ def full_text_chunks(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def paragraph_chunks(df: DataFrame, text: str = "text", most: int = 2000) -> DataFrame:
-    return _exploded(df, pack(_parts(normalized(text), r"\n\s*\n"), most, "\n\n"), "text/paragraph", "paragraph")
+    return _packed(df, text, PARAGRAPH_END.split, most, "\n\n", "paragraph")
 
 
 def sentence_chunks(df: DataFrame, text: str = "text", most: int = 1200) -> DataFrame:
-    sentences = _parts(F.regexp_replace(normalized(text), "\n", " "), r"(?U)(?<=[.!?])\s+")
-    return _exploded(df, pack(sentences, most, " "), "text/sentence", "sentence")
+    return _packed(df, text, lambda t: SENTENCE_END.split(t.replace("\n", " ")), most, " ", "sentence")
 
 
 def legacy_chunks(df: DataFrame, text: str = "text", most: int = 2000) -> DataFrame:
     """Paragraphs between empty lines; the first of each later chunk counts two characters more. A blank text is a chunk."""
-    plain = F.regexp_replace(col(text), r"\r\n?", "\n")
-    paragraphs = _parts(plain, "\n\n")
-    parts = F.when(F.size(paragraphs) > 0, paragraphs).otherwise(F.array(col(text)))
-    nothing = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("body"), F.lit(0).alias("size"))
-
-    def step(s: Column, x: Column) -> Column:
-        added = F.length(x) + F.when(s["body"].isNull(), 0).otherwise(2)
-        full = s["body"].isNotNull() & (s["size"] + added > most)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["body"]))).otherwise(s["done"]).alias("done"),
-            F.when(s["body"].isNull() | full, x).otherwise(F.concat(s["body"], F.lit("\n\n"), x)).alias("body"),
-            F.when(full, added).otherwise(s["size"] + added).alias("size"),
-        )
-
-    packed = F.aggregate(parts, nothing, step, lambda s: F.concat(s["done"], F.array(s["body"])))
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    return df.filter(col(text).isNotNull()).select(*kept, F.posexplode(packed).alias("ordinal", "content"))
 
+    def rows(said: str) -> Iterator[tuple]:
+        parts = _some(re.sub("\r\n?", "\n", said).split("\n\n")) or [said]
+        first, size, k = 0, len(parts[0]), 0
+        for i, p in enumerate(parts[1:], start=1):
+            if size + len(p) + 2 > most:
+                yield k, "\n\n".join(parts[first:i])
+                first, size, k = i, 0, k + 1
+            size += len(p) + 2
+        yield k, "\n\n".join(parts[first:])
 
-def section_chunks(df: DataFrame, text: str = "text") -> DataFrame:
-    """Sections that begin at # headings, with the path of headings above them and 1-based lines.
+    return per_text(df, text, "ordinal int, content string", rows)
 
-    One row per text; its lines are folded to section starts, so no line leaves its row.
-    """
-    lines = F.split(F.regexp_replace(normalized(text), r"\n$", ""), "\n")
-    heading = r"(?U)^(#{1,6})\s+(.+?)\s*$"
-    marks = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), F.length(F.regexp_extract(x, heading, 1)).alias("level"), F.regexp_extract(x, heading, 2).alias("title"))), lambda m: m["level"] > 0)
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    found = df.filter(normalized(text) != "").select(*kept, lines.alias("_lines"), marks.alias("_marks"))
-    begin = lambda line, path: F.struct(line.alias("line"), path.alias("path"))
-    path = lambda i: F.transform(F.aggregate(F.slice("_marks", F.lit(1), i + 1), F.array().cast("array<struct<line:int,level:int,title:string>>"), lambda s, m: F.concat(F.filter(s, lambda y: y["level"] < m["level"]), F.array(m))), lambda y: y["title"])
-    starts = F.transform("_marks", lambda m, i: begin(m["line"], path(i)))
-    preamble = F.when((F.size("_marks") == 0) | (F.element_at("_marks", 1)["line"] > 1), F.array(begin(F.lit(1), F.array().cast("array<string>")))).otherwise(F.array().cast("array<struct<line:int,path:array<string>>>"))
-    found = found.withColumn("_starts", F.concat(preamble, starts))
-    last = lambda i: F.coalesce(F.get("_starts", i + 1)["line"] - 1, F.size("_lines"))
-    sections = F.transform("_starts", lambda s, i: F.struct(s["path"].alias("path"), s["line"].alias("first"), last(i).alias("last"), F.concat(strip(F.array_join(F.slice(F.col("_lines"), s["line"], last(i) - s["line"] + 1), "\n")), F.lit("\n")).alias("body")))
-    rows = found.select(*kept, F.posexplode(sections).alias("ordinal", "_c")).filter("_c.body <> '\n'")
-    return rows.select(*kept, "ordinal", F.lit("text/section").alias("chunk_type"), F.col("_c.body").alias("content"), F.col("_c.path").alias("section_path"), F.col("_c.first").alias("start_line"), F.col("_c.last").alias("end_line"))
+
+def section_chunks(df: DataFrame, text: str = "text") -> DataFrame:
+    """Sections that begin at # headings, with the path of headings above them and 1-based lines."""
+
+    def rows(said: str) -> Iterator[tuple]:
+        plain = _normal(said)
+        if not plain:
+            return
+        lines = plain[:-1].split("\n")
+        starts, above = [(1, [])], []
+        for k, line in enumerate(lines, start=1):
+            if m := HEADING.match(line):
+                above = [a for a in above if a[0] < len(m[1])] + [(len(m[1]), m[2])]
+                starts.append((k, [title for _, title in above]))
+        if len(starts) > 1 and starts[1][0] == 1:
+            starts = starts[1:]
+        for k, (first, path) in enumerate(starts):
+            last = starts[k + 1][0] - 1 if k + 1 < len(starts) else len(lines)
+            body = "\n".join(lines[first - 1 : last]).strip()
+            if body:
+                yield k, "text/section", f"{body}\n", path, first, last
+
+    return per_text(df, text, "ordinal int, chunk_type string, content string, section_path array<string>, start_line int, end_line int", rows)
 
 
 def blank_line_paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
     """Groups of lines between blank ones, with the 0-based line at which they start."""
-    lines = F.split(col(text), "\n")
-    nothing = F.array().cast("array<struct<start:int,lines:array<string>,open:boolean>>")
-
-    def step(s: Column, x: Column) -> Column:
-        blank, last = strip(x["line"]) == "", F.element_at(s, -1)
-        closed = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["start"].alias("start"), last["lines"].alias("lines"), F.lit(False).alias("open"))))
-        longer = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["start"].alias("start"), F.concat(last["lines"], F.array(x["line"])).alias("lines"), F.lit(True).alias("open"))))
-        more = F.concat(s, F.array(F.struct(x["at"].alias("start"), F.array(x["line"]).alias("lines"), F.lit(True).alias("open"))))
-        going = (F.size(s) > 0) & F.coalesce(F.try_element_at(s, F.lit(-1))["open"], F.lit(False))
-        return F.when(blank & going, closed).when(blank, s).when(going, longer).otherwise(more)
-
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at")))
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.select(*kept, F.posexplode(F.aggregate(numbered, nothing, step)).alias("ordinal", "_c"))
-    return rows.select(*kept, "ordinal", F.col("_c.start").alias("start_line"), F.array_join("_c.lines", "\n").alias("content"))
+
+    def rows(said: str) -> Iterator[tuple]:
+        k, start, held = 0, 0, []
+        for at, line in enumerate([*said.split("\n"), ""]):
+            if line.strip():
+                start = start if held else at
+                held.append(line)
+            elif held:
+                yield k, start, "\n".join(held)
+                k, held = k + 1, []
+
+    return per_text(df, text, "ordinal int, start_line int, content string", rows)
 
 
 def strided_terms(df: DataFrame, text: str = "text", window: int = 512, stride: int = 256) -> DataFrame:

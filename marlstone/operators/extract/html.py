@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from marlstone.functions import fixed
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 DROPPED = {"script", "style", "noscript", "template"}
 BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "nav", "aside", "figure", "figcaption", "form", "address", "dl", "dd", "dt", "details", "summary", "fieldset"}
@@ -51,9 +53,9 @@ class Element:
         """Stripped pieces of text, joined by blanks."""
         return " ".join(s.strip() for s in self.strings() if s.strip())
 
-    def above(self, tag: str) -> Element | None:
+    def above(self, *tags: str) -> Element | None:
         e = self.parent
-        while e is not None and e.tag != tag:
+        while e is not None and e.tag not in tags:
             e = e.parent
         return e
 
@@ -92,19 +94,28 @@ def parse(html: str) -> Element:
     return builder.root
 
 
-def _inline(e: Element) -> str:
-    return re.sub(r"\s+", " ", "".join(_markdown(c) for c in e.children)).strip()
+def _joined(children: list, done: dict[int, str]) -> str:
+    return "".join(re.sub(r"[ \t\r\n]+", " ", c) if isinstance(c, str) else done[id(c)] for c in children)
+
+
+def _inline(children: list, done: dict[int, str]) -> str:
+    return re.sub(r"\s+", " ", _joined(children, done)).strip()
 
 
-def _list(e: Element, depth: int) -> str:
-    out, number = [], 1
-    for c in e.children:
-        if isinstance(c, Element) and c.tag == "li":
-            mark = f"{number}." if e.tag == "ol" else "-"
-            number += 1
-            own = Element("li", children=[x for x in c.children if not (isinstance(x, Element) and x.tag in ("ul", "ol"))])
-            out.append("  " * depth + f"{mark} {_inline(own)}".rstrip())
-            out += [_list(x, depth + 1) for x in c.children if isinstance(x, Element) and x.tag in ("ul", "ol")]
+def _list(e: Element, done: dict[int, str]) -> str:
+    """A list with those inside its items, two blanks further in at each level."""
+    out, number = [], {}
+    is_list = lambda c: isinstance(c, Element) and c.tag in ("ul", "ol")
+    stack = [(c, 0) for c in reversed(e.children)]
+    while stack:
+        c, depth = stack.pop()
+        if is_list(c):
+            stack += [(x, depth) for x in reversed(c.children)]
+        elif isinstance(c, Element) and c.tag == "li":
+            number[id(c.parent)] = number.get(id(c.parent), 0) + 1
+            mark = f"{number[id(c.parent)]}." if c.parent.tag == "ol" else "-"
+            out.append("  " * depth + f"{mark} {_inline([x for x in c.children if not is_list(x)], done)}".rstrip())
+            stack += [(x, depth + 1) for x in reversed(c.children) if is_list(x)]
     return "\n".join(out)
 
 
@@ -117,16 +128,16 @@ def _table(e: Element) -> str:
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
 
 
-def _markdown(node) -> str:
-    if isinstance(node, str):
-        return re.sub(r"[ \t\r\n]+", " ", node)
+def _markdown(node: Element, done: dict[int, str]) -> str:
+    """An element, those inside it done before."""
     tag = node.tag
     if tag in DROPPED:
         return ""
     if re.fullmatch("h[1-6]", tag):
-        return f"\n\n{'#' * int(tag[1])} {_inline(node)}\n\n"
+        return f"\n\n{'#' * int(tag[1])} {_inline(node.children, done)}\n\n"
     if tag in ("ul", "ol"):
-        return f"\n\n{_list(node, 0)}\n\n"
+        # a list inside an item is part of the outermost one
+        return "" if node.parent is not None and node.parent.tag == "li" and node.above("ul", "ol") else f"\n\n{_list(node, done)}\n\n"
     if tag == "table":
         return f"\n\n{_table(node)}\n\n"
     if tag == "pre":
@@ -137,7 +148,7 @@ def _markdown(node) -> str:
         return "\n\n---\n\n"
     if tag == "img":
         return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})"
-    inner = "".join(_markdown(c) for c in node.children)
+    inner = _joined(node.children, done)
     if tag == "a" and node.attrs.get("href") and inner.strip():
         return f"[{inner.strip()}]({node.attrs['href']})"
     for tags, mark in ((("b", "strong"), "**"), (("i", "em"), "*"), (("code", "kbd", "samp"), "`")):
@@ -150,7 +161,10 @@ def _markdown(node) -> str:
 
 def to_markdown(html: str) -> str:
     """Headings with #, bullets with -, links, emphasis, code, quotes, tables; scripts and styles are left out."""
-    text = _markdown(parse(html))
+    root, done = parse(html), {}
+    for e in reversed([root, *root.walk()]):
+        done[id(e)] = _markdown(e, done)
+    text = done[id(root)]
     lines = [line if line.endswith("  ") else line.rstrip() for line in text.split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip() + "\n"
 
@@ -221,21 +235,21 @@ def data_uri(uri: str) -> tuple[bytes, str] | None:
 
 
 def images(pages: DataFrame, html: str = "html", base_url: str = "", most: int = 10_000_000) -> DataFrame:
-    """(…, image_index, src, resolved_src, alt, media_type, byte_count, base64) of images with a source.
+    """(…, image_index, src, resolved_src, alt, media_type, byte_count, base64, error) of images with a source.
 
     Bytes come with data: sources only; others resolve against base_url and join a table of files (see
-    ``with_files``), nothing is fetched. Images without a source count in the index.
+    ``with_files``), nothing is fetched. Images without a source count in the index. One of more than ``most``
+    bytes has an error and no bytes.
     """
 
     def rows(text: str):
         for k, img in enumerate(parse(text).all("img"), start=1):
             if src := img.attrs.get("src", ""):
                 found = data_uri(src)
-                if found and len(found[0]) > most:
-                    raise ValueError(f"an image has more than {most} bytes")
-                yield k, src, src if found else urljoin(base_url, src), img.attrs.get("alt", ""), found[1] if found else None, len(found[0]) if found else None, base64.b64encode(found[0]).decode() if found else None
+                large = found is not None and len(found[0]) > most
+                yield k, src, src if found else urljoin(base_url, src), img.attrs.get("alt", ""), found[1] if found else None, len(found[0]) if found else None, base64.b64encode(found[0]).decode() if found and not large else None, f"the image has more than {most} bytes" if large else None
 
-    return _applied(pages, html, "image_index int, src string, resolved_src string, alt string, media_type string, byte_count int, base64 string", rows)
+    return _applied(pages, html, "image_index int, src string, resolved_src string, alt string, media_type string, byte_count int, base64 string, error string", rows)
 
 
 def with_files(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -257,7 +271,7 @@ def column_type(values: Column) -> Column:
     some = F.trim(values) != ""
     every = lambda pattern, of: F.bool_and(F.when(some, of.rlike(pattern)))
     number = plain_number(values)
-    integer, real = every(r"^[-+]?\d+$", number), every(r"^[-+]?(?:\d+\.\d*|\d*\.\d+|\d+)(?:[eE][-+]?\d+)?$", number)
+    integer, real = every(f"^(?:{fixed.INTEGER})$", number), every(f"^(?:{fixed.REAL})$", number)
     boolean = every("^(?:true|false|yes|no)$", F.lower(F.trim(values)))
     return F.when(integer, "integer").when(real, "float").when(boolean, "boolean").otherwise("string")
 

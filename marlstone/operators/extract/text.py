@@ -1,12 +1,18 @@
-"""Plain text and Markdown: copies, references of papers, symbols of JavaScript, rules of stylesheets; in the JVM."""
+"""Plain text and Markdown: copies, references of papers, symbols of JavaScript, rules of stylesheets."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import fixed
 from marlstone.functions.text import col, strip
+from marlstone.operators.chunking import per_text
+
+REFERENCES_TITLE, ENTRY_START, ANY_HEADING = re.compile(fixed.REFERENCES_TITLE, re.IGNORECASE), re.compile(fixed.ENTRY_START), re.compile(fixed.ANY_HEADING)
 
 
 def plaintext_markdown(text: Column | str) -> Column:
@@ -27,22 +33,24 @@ def references(df: DataFrame, text: str = "text") -> DataFrame:
 
     An entry begins at a bullet or number if one is open, else at any line; other lines go on with it.
     """
-    title = r"(?iU)^\s*(?:#{1,6}\s*)?(?:references|bibliography)\s*$"
-    kept = [F.col(f"`{c}`") for c in df.columns]
-    lines = _lines(text)
-    start = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(title), i)), lambda i: i.isNotNull()))
-    section = F.slice(lines, start + 2, F.size(lines))
-    end = F.array_min(F.filter(F.transform("_s", lambda x, i: F.when(x.rlike(r"(?U)^\s*#{1,6}\s+"), i)), lambda i: i.isNotNull()))
-    found = df.select(*kept, section.alias("_s")).filter(F.col("_s").isNotNull()).select(*kept, F.slice("_s", F.lit(1), F.coalesce(end, F.size("_s"))).alias("_s"))
-    begins = r"(?U)^\s*(?:[-*]|\[?\d+\]?\.?|\d+\))\s+"
-
-    def step(s: Column, x: Column) -> Column:
-        more = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.concat(F.element_at(s, -1), F.lit("\n"), x)))
-        return F.when((F.size(s) == 0) & (strip(x) != ""), F.array(x)).when((F.size(s) > 0) & x.rlike(begins), F.concat(s, F.array(x))).when((F.size(s) > 0) & (strip(x) != ""), more).otherwise(s)
-
-    entries = F.aggregate("_s", F.array().cast("array<string>"), step)
-    rows = found.select(*kept, F.posexplode(F.filter(F.transform(entries, strip), lambda e: e != "")).alias("_i", "_r"))
-    return rows.select(*kept, (F.col("_i") + 1).alias("reference_index"), F.concat("_r", F.lit("\n")).alias("reference"))
+
+    def rows(said: str) -> Iterator[tuple]:
+        k, entry, inside = 0, [], False
+        for line in [*re.sub("\r\n?", "\n", said).removesuffix("\n").split("\n"), "# "]:
+            if not inside:
+                inside = REFERENCES_TITLE.match(line) is not None
+            elif ANY_HEADING.match(line) or line == "# ":
+                break
+            elif entry and ENTRY_START.match(line):
+                k += 1
+                yield k, "\n".join(entry).strip() + "\n"
+                entry = [line]
+            elif line.strip():
+                entry.append(line)
+        if entry:
+            yield k + 1, "\n".join(entry).strip() + "\n"
+
+    return per_text(df, text, "reference_index int, reference string", rows)
 
 
 def _count(line: Column, mark: str) -> Column:

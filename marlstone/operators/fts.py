@@ -1,8 +1,8 @@
 """Full-text search over postings: a boolean query language ranked by BM25, and Okapi ranking.
 
 An index is three tables: postings (term, chunk_id, positions), documents (chunk_id, length) and, by
-aggregation, statistics. A query reads only the postings of its terms; stored by ``term_bucket`` (see
-``write_index``), only those buckets are scanned.
+aggregation, statistics. A query reads only the postings of its terms. Stored in order of term and chunk (see
+``write_index``), files and row groups of other terms are skipped, for prefixes too.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from marlstone.functions import fixed
 from marlstone.functions.text import FOLD_FROM, FOLD_TO, index_terms, terms
 
-BUCKETS = 256
 _TOKEN = re.compile(r'\s*(?:"((?:[^"]|"")*)"|(NEAR)\s*\(|([()+*,])|([^\s"()+*,]+))')
 _WORD = re.compile(r"[^\W]|[./-]")
 
@@ -37,7 +36,8 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", content: str = "conten
 
 
 def write_index(index: Index, path: str) -> None:
-    index.postings.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).repartition("term_bucket").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
+    """Postings ranged by term and chunk, so that a word in every document is spread over many files."""
+    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     index.documents.write.mode("overwrite").parquet(f"{path}/documents")
 
 
@@ -176,8 +176,6 @@ def matches(index: Index, query: str) -> DataFrame:
     for s in slots:
         wanted = wanted | is_slot(*s)
     postings = index.postings.filter(wanted)
-    if "term_bucket" in postings.columns and not any(p for _, p in slots):
-        postings = postings.filter(F.col("term_bucket").isin([r[0] for r in postings.sparkSession.createDataFrame([(w,) for w, _ in slots], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).collect()]))
     empty = F.array().cast("array<int>")
     rows = postings.groupBy("chunk_id").agg(*[F.coalesce(F.array_sort(F.flatten(F.collect_list(F.when(is_slot(*s), F.col("positions"))))), empty).alias(f"s{k}") for k, s in enumerate(slots)])
     place = {s: F.col(f"s{k}") for k, s in enumerate(slots)}
@@ -186,15 +184,11 @@ def matches(index: Index, query: str) -> DataFrame:
         if not p.words:
             return empty
         at = [place[w, p.prefix and k == len(p.words) - 1] for k, w in enumerate(p.words)]
-        later = list(enumerate(at))[1:]
-
-        def goes_on(x: Column) -> Column:
-            out = F.lit(True)
-            for k, other in later:
-                out = out & F.array_contains(other, x + k)
-            return out
-
-        return F.filter(at[0], goes_on) if later else at[0]
+        out = at[0]
+        for k, other in list(enumerate(at))[1:]:
+            # hashed, so it takes no time quadratic in the length of a text
+            out = F.array_intersect(out, F.transform(other, _minus(k)))
+        return out
 
     rows = rows.select("chunk_id", *[starts(p.phrase).alias(f"p{k}") for k, p in enumerate(phrases)])
     found = {id(p): F.size(f"p{k}") for k, p in enumerate(phrases)}
@@ -240,6 +234,10 @@ def _unary(f):
     return lambda x: f(x)
 
 
+def _minus(k: int):
+    return lambda x: x - k
+
+
 def _before(x: Column, length: int, within: int):
     return lambda y: (y <= x) & (x - y - length <= within)
 
@@ -261,23 +259,42 @@ def okapi(docs: DataFrame, query: str, key: str = "chunk_id", tokens: str = "tok
     partition: take statistics within each value of this column. An idf below zero is replaced by a quarter of the mean one.
     """
     spark = docs.sparkSession
-    within = F.lit(0) if partition is None else F.col(partition)
-    base = docs.select(F.col(key), within.alias("_part"), F.col(tokens).alias("_t"))
-    size = base.groupBy("_part").agg(F.count("*").alias("n"), F.avg(F.size("_t").cast("double")).alias("mean"))
-    df = base.select("_part", F.explode(F.array_distinct("_t")).alias("term")).groupBy("_part", "term").agg(F.count("*").alias("df"))
-    raw = df.join(size, "_part").withColumn("raw", F.ln(F.col("n") - F.col("df") + F.lit(0.5)) - F.ln(F.col("df") + F.lit(0.5)))
-    mean_idf = raw.groupBy("_part").agg(F.avg("raw").alias("mean_idf"))
     asked: dict[str, int] = {}
     for w in spark.range(1).select(F.explode(terms(F.lit(query)))).collect():
         asked[w[0]] = asked.get(w[0], 0) + 1
+    part = [] if partition is None else [F.col(partition).alias("_part")]
+    base = docs.select(F.col(key), *part, F.col(tokens).alias("_t"))
     if not asked:
         return base.select(key, F.lit(0.0).alias("score")).limit(0)
-    mine = raw.filter(F.col("term").isin(*asked)).join(mean_idf, "_part").withColumn("idf", F.when(F.col("raw") < 0, F.lit(fixed.OKAPI_EPSILON) * F.col("mean_idf")).otherwise(F.col("raw"))).select("_part", "term", "idf", "mean")
-    hits = base.select(key, "_part", F.size("_t").alias("length"), F.explode(F.filter("_t", lambda t: t.isin(*asked))).alias("term")).groupBy(key, "_part", "length", "term").agg(F.count("*").alias("tf"))
+    words, by = list(asked), ["_part"] if part else []
+    # one pass over the terms: the null term counts documents; how many terms have a frequency is a short list
+    every = base.select(*by, F.size("_t").cast("double").alias("length"), F.explode(F.array_append(F.array_distinct("_t"), F.lit(None))).alias("term"))
+    df = every.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    is_all = F.col("term").isNull()
+    some = df.groupBy(*by, "df").agg(F.count("term").alias("times"), F.max(F.when(is_all, F.col("length"))).alias("length"), *[F.max(F.when(F.col("term") == w, 1)).alias(f"has{k}") for k, w in enumerate(words)])
+    stats = some.groupBy(*by).agg(
+        F.max(F.when(F.col("length").isNotNull(), F.col("df"))).alias("n"), F.max("length").alias("length"), F.collect_list(F.struct("df", "times")).alias("kinds"),
+        *[F.max(F.when(F.col(f"has{k}") == 1, F.col("df"))).alias(f"d{k}") for k in range(len(words))],
+    )
+    raw = lambda d: F.ln(F.col("n") - d + F.lit(0.5)) - F.ln(d + F.lit(0.5))
+    total = lambda f: F.aggregate("kinds", F.lit(0.0), lambda s, x: s + f(x))
+    mean_idf = total(lambda x: raw(x["df"]) * x["times"]) / total(lambda x: x["times"].cast("double"))
+    idf = [F.when(raw(F.col(f"d{k}")) < 0, F.lit(fixed.OKAPI_EPSILON) * F.col("mean_idf")).otherwise(raw(F.col(f"d{k}"))).alias(f"idf{k}") for k in range(len(words))]
+    known = stats.withColumn("mean_idf", mean_idf).select(*by, (F.col("length") / F.col("n")).alias("mean"), *idf)
+    tf = [F.size(F.filter("_t", _equals(w))).alias(f"tf{k}") for k, w in enumerate(words)]
+    hits = base.select(key, *by, F.size("_t").alias("length"), *tf).filter(F.greatest(F.lit(0), *[F.col(f"tf{k}") for k in range(len(words))]) > 0)
+    # a row, or one for each value of the partition
+    joined = hits.join(known, "_part") if by else hits.crossJoin(F.broadcast(known))
     k1, b = F.lit(fixed.OKAPI_K1), F.lit(fixed.OKAPI_B)
-    times = F.element_at(F.create_map(*[F.lit(x) for p in asked.items() for x in p]), F.col("term"))
-    part = times * F.col("idf") * (F.col("tf") * (k1 + F.lit(1.0)) / (F.col("tf") + k1 * (F.lit(1.0) - b + b * F.col("length") / F.col("mean"))))
-    return hits.join(mine, ["_part", "term"]).groupBy(key, *([F.col("_part").alias(partition)] if partition else [])).agg(F.sum(part).alias("score"))
+    score = F.lit(0.0)
+    for k, w in enumerate(words):
+        one = F.lit(asked[w]) * F.col(f"idf{k}") * (F.col(f"tf{k}") * (k1 + F.lit(1.0)) / (F.col(f"tf{k}") + k1 * (F.lit(1.0) - b + b * F.col("length") / F.col("mean"))))
+        score = score + F.when(F.col(f"tf{k}") > 0, one).otherwise(F.lit(0.0))
+    return joined.select(key, *([F.col("_part").alias(partition)] if partition else []), score.alias("score"))
+
+
+def _equals(word: str):
+    return lambda t: t == word
 
 
 def okapi_top(scored: DataFrame, k: int, key: str = "chunk_id", partition: str | None = None) -> DataFrame:

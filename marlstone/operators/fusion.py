@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import fixed
@@ -16,6 +16,8 @@ MODALITIES = ("content", "metadata", "terms", "graph")
 #: Labels of results, in the order in which ties are resolved.
 LABELS = {"content": "vector", "metadata": "metadata", "terms": "bm25", "graph": "graph"}
 OVER_FETCH = 3
+#: Results up to which their ids are broadcast to the chunks.
+SMALL = 10_000
 
 
 @dataclass(frozen=True)
@@ -63,14 +65,29 @@ def fuse(normalized: DataFrame, weights: SearchWeights = SearchWeights()) -> Dat
     return best.select("id", total.alias("score"), source.alias("source"))
 
 
+def over_fetched(candidates: DataFrame, k: int, times: int = OVER_FETCH) -> DataFrame:
+    """The ``times * k`` best candidates of each modality but the graph, all of the graph's; ties by id."""
+    best = Window.partitionBy("modality").orderBy(F.desc("score"), "id")
+    # a window with a row limit keeps as many rows in each task before the shuffle
+    ranked = candidates.filter("modality <> 'graph'").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= times * k).drop("_r")
+    return ranked.unionByName(candidates.filter("modality = 'graph'"))
+
+
 def search(candidates: DataFrame, chunks: DataFrame, k: int | None = 20, weights: SearchWeights = SearchWeights()) -> DataFrame:
-    """The k best chunks, or all; graph candidates name units. Ids without a chunk drop out; repeated chunk ids count once."""
+    """The k best chunks, or all; graph candidates name units. Ids without a chunk drop out; of repeated chunk ids the smallest row counts.
+
+    Only ids and units of chunks take part in the ranking; the other columns join the rows that are left.
+    """
     normalized = normalized_scores(candidates)
     graph = spread_to_chunks(normalized.filter("modality = 'graph'").drop("modality"), chunks).withColumn("modality", F.lit("graph"))
-    fused = fuse(normalized.filter("modality <> 'graph'").unionByName(graph), weights)
-    known = chunks.dropDuplicates(["chunk_id"])
-    found = fused.join(known, fused["id"] == known["chunk_id"]).drop("id")
-    return found if k is None else found.orderBy(F.desc("score"), "chunk_id").limit(k)
+    fused = fuse(normalized.filter("modality <> 'graph'").unionByName(graph), weights).withColumnRenamed("id", "chunk_id")
+    known = fused.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    best = known if k is None else known.orderBy(F.desc("score"), "chunk_id").limit(k)
+    rest = [c for c in chunks.columns if c != "chunk_id"]
+    found = chunks.join(F.broadcast(best.select("chunk_id")) if k is not None and k <= SMALL else best.select("chunk_id"), "chunk_id", "left_semi")
+    once = found.groupBy("chunk_id").agg(F.min(F.struct(*rest)).alias("_c")).select("chunk_id", "_c.*") if rest else found.distinct()
+    out = best.join(once, "chunk_id")
+    return out if k is None else out.orderBy(F.desc("score"), "chunk_id")
 
 
 def shown(results: DataFrame) -> DataFrame:

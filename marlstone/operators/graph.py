@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import fixed
@@ -20,22 +20,23 @@ def adjacency(triples: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df stored where driver and executors can read it, so that a level's lineage ends there."""
-    spark = df.sparkSession
-    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    path = f"{at}/graph-{uuid.uuid4().hex}"
+    """df stored where driver and executors can read it, so that a level's lineage ends there; it goes with the application."""
+    from marlstone.sources.store import removed_at_exit, shared_folder
+
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    removed_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def traverse(edges: DataFrame, start: str, depth: int = 3, verbs: list[str] | None = None, sources: list[str] | None = None) -> DataFrame:
+def traverse(edges: DataFrame, start: str, depth: int = 3, verbs: list[str] | None = None, sources: list[str] | None = None, most: int = MAX_DEPTH) -> DataFrame:
     """(node, verb, depth, score, path): nodes within reach, each by the path that is found first, level by level.
 
     edges as ``adjacency`` makes them. Of the ways into a node at its level, that from the earliest found
-    node and the earliest edge counts. The start isn't among them. Depths over 20 raise.
+    node and the earliest edge counts. The start isn't among them. Depths over ``most`` raise.
     """
-    if not 0 <= depth <= MAX_DEPTH:
-        raise ValueError(f"depth must be 0 to {MAX_DEPTH}")
+    if not 0 <= depth <= most:
+        raise ValueError(f"depth must be 0 to {most}")
     spark = edges.sparkSession
     for column, wanted in (("verb", verbs), ("source", sources)):
         if wanted is not None:
@@ -46,8 +47,8 @@ def traverse(edges: DataFrame, start: str, depth: int = 3, verbs: list[str] | No
     for level in range(depth):
         # found: positions of the edges along the path, which orders nodes as they are found
         steps = frontier.select(F.col("node").alias("_n"), "path", "found").join(edges, F.col("_n") == edges["node"]).select(F.col("next").alias("node"), "verb", F.lit(level).alias("depth"), F.concat("path", F.array("next")).alias("path"), F.concat("found", F.array(F.col("pos") * 2 + F.col("back"))).alias("found"))
-        first = Window.partitionBy("node").orderBy("found")
-        new = steps.join(seen.select("node"), "node", "left_anti").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+        # a partial aggregate, so a node with very many edges into it is no large group
+        new = steps.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min(F.struct("found", "verb", "depth", "path")).alias("f")).select("node", "f.verb", "f.depth", "f.path", "f.found")
         frontier = _cut(new)
         if frontier.isEmpty():
             break
@@ -70,10 +71,10 @@ def scope_leaves(scopes: DataFrame, root: str) -> DataFrame:
     return seen.filter((F.size("delegates") == 0) | F.col("has_vectors")).select("index_path").distinct()
 
 
-def nearest_index(paths: DataFrame, indexes: DataFrame) -> DataFrame:
-    """(path, index_path): the deepest folder at or above each path that has an index, up to 100 levels."""
+def nearest_index(paths: DataFrame, indexes: DataFrame, levels: int | None = fixed.MAX_LEVELS) -> DataFrame:
+    """(path, index_path): the deepest folder at or above each path that has an index, up to ``levels`` levels, or all."""
     parts = F.split("path", "/")
-    above = paths.select("path", F.explode(F.transform(F.sequence(F.greatest(F.lit(0), F.size(parts) - 100), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("index_path"))
+    above = paths.select("path", F.explode(F.transform(F.sequence(F.greatest(F.lit(0), F.size(parts) - levels) if levels else F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("index_path"))
     return above.join(indexes.select("index_path"), "index_path").groupBy("path").agg(F.max_by("index_path", F.length("index_path")).alias("index_path"))
 
 
@@ -93,19 +94,19 @@ def _label(name: str):
     return F.concat(F.lit('"'), short, F.lit('"'))
 
 
-def mermaid_lines(nodes: DataFrame, triples: DataFrame, prefix: str | None = None) -> DataFrame:
+def mermaid_lines(nodes: DataFrame, triples: DataFrame, prefix: str | None = None, most_nodes: int | None = fixed.MAX_NODES, most_edges: int | None = fixed.MAX_EDGES) -> DataFrame:
     """(part, pos, line) of a flowchart: nodes (id, kind, label, path, pos), then edges by pos.
 
-    prefix keeps nodes whose path starts so, and triples that touch them. At most 500 nodes and 2000
-    triples, the first ones; edges to other nodes are left out.
+    prefix keeps nodes whose path starts so, and triples that touch them. The first nodes and triples, as many
+    as asked for (500 and 2000; None: all); edges to other nodes are left out.
     """
     if prefix and prefix != ".":
         nodes = nodes.filter(F.col("path").startswith(prefix))
         ids = nodes.select("id").distinct()
         touched = triples.join(ids, triples["subject"] == ids["id"], "left_semi").unionByName(triples.join(ids, triples["object"] == ids["id"], "left_semi")).distinct()
         triples = touched
-    nodes = nodes.orderBy("pos").limit(fixed.MAX_NODES)
-    edges = known_edges(triples.orderBy("pos").limit(fixed.MAX_EDGES), nodes)
+    nodes = nodes if most_nodes is None else nodes.orderBy("pos").limit(most_nodes)
+    edges = known_edges(triples if most_edges is None else triples.orderBy("pos").limit(most_edges), nodes)
     opening, closing = F.lit("("), F.lit(")")
     for kind, (a, b) in fixed.SHAPES.items():
         opening, closing = F.when(F.col("kind") == kind, a).otherwise(opening), F.when(F.col("kind") == kind, b).otherwise(closing)

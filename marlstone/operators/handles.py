@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as x
@@ -66,9 +66,12 @@ def derived_edges(handles: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """One row per key, of the highest version: what inserting over and over leaves."""
-    newest = Window.partitionBy(*keys).orderBy(F.desc(version))
-    return rows.withColumn("_r", F.row_number().over(newest)).filter("_r = 1").drop("_r")
+    """One row per key, of the highest version: what inserting over and over leaves. Of equal versions the largest row counts.
+
+    A partial aggregate, so a key with very many versions is no large group anywhere.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(F.col(version).alias("_v"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(rest)])).alias("_r")).select(*[F.col(c) if c in keys else F.col(f"_r._{rest.index(c)}").alias(c) for c in rows.columns])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,3 +135,10 @@ def filtered(members: DataFrame, path_glob: str | None = None, label_glob: str |
     if most is not None and most <= 0:
         raise ValueError("most must be positive")
     return members if most is None else members.orderBy(order).limit(most)
+
+
+def filter_counts(members: DataFrame, **filters) -> DataFrame:
+    """(members, skipped, media_types): how many match ``filtered``'s arguments, how many don't, and the matching ones by media type."""
+    some = filtered(members, **filters)
+    by_type = some.groupBy("media_type").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("media_type", "n")))).alias("media_types"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
+    return by_type.crossJoin(F.broadcast(members.agg(F.count("*").alias("_all")))).select("members", (F.col("_all") - F.col("members")).alias("skipped"), "media_types")  # one row each

@@ -68,3 +68,26 @@ def summary(handles: DataFrame, edges: DataFrame, paths: DataFrame, chunks: Data
     of_paths = paths.groupBy(F.lit("paths").alias("what"), F.col("status").alias("value")).agg(F.count("*").alias("n"))
     of_chunks = chunks.agg(F.count("*").alias("n")).select(F.lit("chunks").alias("what"), F.lit("all").alias("value"), "n")
     return of_handles.unionByName(of_edges).unionByName(of_paths).unionByName(of_chunks)
+
+
+def cascade(handles: DataFrame, edges: DataFrame, paths: DataFrame, seen: DataFrame) -> DataFrame:
+    """(what, key) of all that goes with sources not seen any more: their handles, edges into or out of them, their paths.
+
+    handles (handle, kind), edges (child, parent), paths (handle, path), seen (handle).
+    """
+    gone = handles.filter("kind = 'file_ref'").select("handle").join(seen.select("handle"), "handle", "left_anti")
+    touching = edges.join(gone.select(F.col("handle").alias("parent")), "parent", "left_semi").unionByName(edges.join(gone.select(F.col("handle").alias("child")), "child", "left_semi").select(edges.columns)).select("child", "parent").distinct()
+    key = lambda df, what, of: df.select(F.lit(what).alias("what"), of.alias("key"))
+    return key(gone, "handle", F.col("handle")).unionByName(key(touching, "edge", F.concat("child", F.lit(">"), "parent"))).unionByName(key(paths.join(gone, "handle", "left_semi"), "path", F.col("path")))
+
+
+def totals(chunks: DataFrame) -> DataFrame:
+    """(partitions, files, chunks) of chunks (partition_key, path)."""
+    return chunks.agg(F.countDistinct("partition_key").alias("partitions"), F.countDistinct("path").alias("files"), F.count("*").alias("chunks"))
+
+
+def harvested(records: DataFrame, key: str, updated: str) -> DataFrame:
+    """Records of a harvest, the newest of each key, newest first."""
+    from marlstone.operators.handles import latest
+
+    return latest(records, [key], updated).orderBy(F.desc(updated), key)

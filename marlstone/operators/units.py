@@ -8,6 +8,7 @@ Bodies of functions aren't searched for further units.
 from __future__ import annotations
 
 import ast
+import posixpath
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -126,8 +127,13 @@ def python_units(source: str, path: str) -> Iterator[tuple]:
     yield from below(tree.body, None, None)
 
 
-def parsed_units(files: DataFrame) -> DataFrame:
-    """UNITS of files (path, content); blank files have none."""
+def parsed_units(files: DataFrame, resolve: bool = False, parsers: dict[str, Callable[[str, str], Iterator[tuple]]] | None = None) -> DataFrame:
+    """UNITS of files (path, content); blank files have none.
+
+    resolve: calls name the units they reach, see ``with_resolved_calls``. parsers: by the suffix of a path, functions
+    of content and path that give rows of UNITS without path; other files are one module.
+    """
+    by_suffix = {".py": python_units, **(parsers or {})}
     schema = T._parse_datatype_string(UNITS)
     types = to_arrow_schema(schema)
 
@@ -136,7 +142,9 @@ def parsed_units(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if path and content and content.strip():
-                    found = python_units(content, path) if path.endswith(".py") else _fallback(content, path)
+                    found = list(by_suffix.get(posixpath.splitext(path)[1], _fallback)(content, path))
+                    if resolve:
+                        _resolve([(r[0], r[1], r[2], r[3], r[7]) for r in found], found[0][9])
                     rows += [(path, *r[:9], list(r[9].items()), r[10]) for r in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, types.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=types)
@@ -144,6 +152,23 @@ def parsed_units(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
+def _resolve(units: list[tuple], imports: dict[str, str]) -> None:
+    """Fill in what calls reach, in the metadata of one file's units (unit_id, parent_unit_id, name, kind, metadata)."""
+    inner = [u for u in units if u[3] != "module"]
+    times: dict[str, int] = {}
+    for _, _, name, _, _ in inner:
+        times[name] = times.get(name, 0) + 1
+    # what stands first is overwritten by what counts more
+    known = {i: i for i, *_ in inner} | {f"{parent.rpartition('.')[2]}.{name}": i for i, parent, name, _, _ in reversed(inner) if parent and "." in parent}
+    known |= {name: i for i, _, name, _, _ in inner if times[name] == 1} | imports
+    for *_, about in units:
+        for call in (about or {}).get("calls_made") or []:
+            raw = call["raw"]
+            head, dot, _ = raw.partition(".")
+            last = raw.rpartition(".")[2]
+            call["resolved_unit_id"] = known[raw] if raw in known else None if not dot else known[head] + raw[len(head) :] if head in known else known.get(last)
+
+
 def _fallback(content: str, path: str) -> Iterator[tuple]:
     about = {"name": path, "qualified_name": path, "kind": "module"}
     yield path, None, path, "module", 0, max(len(content.splitlines()) - 1, 0), content, about, [], {}, None
@@ -231,12 +256,34 @@ def resolved_calls(calls: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def with_resolved_calls(units: DataFrame) -> DataFrame:
-    """Units whose calls name the units they reach, as far as names tell."""
-    imports = units.filter("kind = 'module'").select("path", F.explode("import_map").alias("local", "qualified"))
-    calls = units.select("path", "unit_id", F.posexplode("metadata.calls_made").alias("pos", "c")).select("path", "unit_id", "pos", F.col("c.raw").alias("raw"))
-    found = resolved_calls(calls, resolution_map(units, imports))
-    lists = found.groupBy("path", "unit_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw", "resolved_unit_id"))), lambda c: F.struct(c["raw"], c["resolved_unit_id"])).cast(f"array<{CALL}>").alias("_calls"))
-    return units.join(lists, ["path", "unit_id"], "left").withColumn("metadata", F.col("metadata").withField("calls_made", F.coalesce("_calls", "metadata.calls_made"))).drop("_calls")
+    """Units whose calls name the units they reach, as far as names tell. Units are read and shuffled once, by path.
+
+    Names of a file: what it imports, then bare names that one unit of it alone has, Class.method, full names. A call
+    is looked up by its whole name, else by its head with the rest kept, else by its last part.
+    """
+    schema = units.schema
+    types = to_arrow_schema(schema)
+    at = {c: schema.names.index(c) for c in ("path", "unit_id", "parent_unit_id", "name", "kind", "metadata", "import_map")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[list]) -> pa.RecordBatch:
+            imports: dict[str, str] = {}
+            for r in rows:
+                imports |= dict(r[at["import_map"]] or ()) if r[at["kind"]] == "module" else {}
+            _resolve([tuple(r[at[c]] for c in ("unit_id", "parent_unit_id", "name", "kind", "metadata")) for r in rows], imports)
+            return pa.RecordBatch.from_arrays([pa.array(c, types.field(i).type) for i, c in enumerate(zip(*rows, strict=True))], schema=types)
+
+        rows: list[list] = []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and rows[-1][at["path"]] != r[at["path"]]:
+                    yield made(rows)
+                    rows = []
+                rows.append(list(r))
+        if rows:
+            yield made(rows)
+
+    return units.repartition("path").sortWithinPartitions("path", "start_line", "unit_id").mapInArrow(run, schema)
 
 
 # chunks

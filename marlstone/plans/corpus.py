@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as x
-from marlstone.operators import handles
+from marlstone.operators import fts, handles
+from marlstone.sources.store import removed_at_exit, shared_folder
 
 SUFFIXES = (".md", ".txt", ".py", ".html", ".bin", ".js")
 
@@ -30,6 +33,50 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "source")
 
 
+def headed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with headings of three levels: their language, then one at each empty line and sentence."""
+    text = F.concat(F.lit("# "), F.col("lang"), F.lit("\n"), F.replace(F.replace("text", F.lit("\n\n"), F.lit("\n## part\n")), F.lit(". "), F.lit(".\n### point \n")))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> fts.Index:
+    """The term index of the documents, built once for an application and folder, stored, and read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}"
+        fts.write_index(fts.build_index(chunks(spark, sf_dir)), path)
+        removed_at_exit(spark, path)
+        _indexes[key] = path
+    return fts.read_index(spark, _indexes[key])
+
+
+def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part, with a heading, emphasis, a link, lists, a quote, code, a table and a figure."""
+    p = lambda c: F.col(c).cast("string")
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    html = F.concat(
+        F.lit("<html><head><title>t</title><script>no()</script></head><body><h1>Part "), p("p_partkey"), F.lit("</h1><p>A <b>"), p("p_brand"), F.lit("</b> of <em>"), p("p_type"), F.lit("</em> <a href='/p"), p("p_partkey"),
+        F.lit("'>here</a>.</p><ul><li>one<ol><li>inner</li></ol></li><li>two</li></ul><blockquote>quoted</blockquote><pre>x  = 1</pre><table><caption>"), p("p_type"), F.lit("</caption><tr><th>Size</th><th>Price</th></tr><tr><td>"), p("p_size"),
+        F.lit("</td><td>"), price, F.lit("</td></tr><tr><td>1,000</td><td>no</td></tr></table><figure><img src='"), p("p_partkey"), F.lit(".png' alt='"), p("p_name"), F.lit("'><figcaption>"), p("p_brand"), F.lit("</figcaption></figure></body></html>"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", html.alias("html"))
+
+
+#: Where the chain of sources begins.
+FIRST_SOURCE = "src0"
+
+
+def source_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples that lead from each source of the documents to the next one in order."""
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    # as many rows as there are sources
+    after = F.lead("source").over(Window.orderBy("source"))
+    return sources.select(F.col("source").alias("subject"), F.lit("before").alias("verb"), after.alias("object"), F.lit("table").alias("source"), F.lit(False).alias("bidirectional"), F.lit(0).cast("long").alias("pos")).filter("object is not null")
+
+
 def file_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handles.file_refs(files(spark, sf_dir))
 

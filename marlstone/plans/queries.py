@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import fixed
 from marlstone.functions import text as x
-from marlstone.operators import chunking, fts, fusion, graph, handles, hints, materialize, sync, units, vector
+from marlstone.operators import chunking, embed, fts, fusion, graph, handles, hints, materialize, sync, units, vector
 from marlstone.operators.extract import html
 from marlstone.operators.extract import text as plain
 from marlstone.plans import corpus
@@ -43,8 +43,7 @@ def strip(text: str) -> str:
 
 
 SUFFIX_SQL = r"regexp_extract(path, '[^/](\.[^./]+)$', 1)"
-MEDIA = {k: f"text/x-code-{v}" for k, v in fixed.CODE_MEDIA.items()}
-MEDIA_SQL = f"coalesce({case(MEDIA, SUFFIX_SQL)}, {case(MEDIA, f'lower({SUFFIX_SQL})')}, {case(fixed.TEXT_MEDIA, f'lower({SUFFIX_SQL})')}, 'application/octet-stream')"
+MEDIA_SQL = f"coalesce({case(fixed.CODE_MEDIA, SUFFIX_SQL)}, {case(fixed.CODE_MEDIA, f'lower({SUFFIX_SQL})')}, {case(fixed.TEXT_MEDIA, f'lower({SUFFIX_SQL})')}, 'application/octet-stream')"
 HANDLES_SQL = f"(select 'hf_' || sha256(content) handle, 'file_ref' kind, media media_type, 'source' as role, case when starts_with(media, 'text/') then 'indexable' else 'raw' end index_state, cast(null as varchar) derivative_type, path as label, path, sha256(content) sha256 from (select *, {MEDIA_SQL} media from {FILES_SQL}) qualify row_number() over (partition by content order by path desc) = 1)"
 TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 INDEX_TERMS = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_./-]+')"
@@ -109,14 +108,17 @@ def chunk_legacy(spark, sf):
     return chunking.legacy_chunks(corpus.paragraphs(spark, sf), most=1500).drop("text")
 
 
-@query(rf"""with l as (select doc_id, unnest(range(1, len(q) + 1)) i, unnest(q) line from (select doc_id, string_split(regexp_replace({normal('text')}, '\n$', ''), chr(10)) q from documents where {strip('text')} <> '')),
+HEADED = "(select doc_id, '# ' || lang || chr(10) || replace(replace(text, chr(10) || chr(10), chr(10) || '## part' || chr(10)), '. ', '.' || chr(10) || '### point ' || chr(10)) as text from documents)"
+
+
+@query(rf"""with l as (select doc_id, unnest(range(1, len(q) + 1)) i, unnest(q) line from (select doc_id, string_split(regexp_replace({normal('text')}, '\n$', ''), chr(10)) q from {HEADED} where {strip('text')} <> '')),
 h as (select *, length(regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 1)) lv, regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 2) title from l),
 s as (select *, sum(case when lv > 0 or i = 1 then 1 else 0 end) over (partition by doc_id order by i) sec from h),
 b as (select doc_id, sec, min(i) first, max(i) last, {strip("string_agg(line, chr(10) order by i)")} || chr(10) body from s group by all),
 p as (select b.doc_id, b.sec, list(a.title order by a.i) path from b join h a on a.doc_id = b.doc_id and a.lv > 0 and a.i <= b.first where not exists (select 1 from h n where n.doc_id = b.doc_id and n.lv > 0 and n.i > a.i and n.i <= b.first and n.lv <= a.lv) group by all)
 select b.doc_id, cast(b.sec - 1 as int) ordinal, 'text/section' chunk_type, body as content, coalesce(array_to_string(path, ' > '), '') section_path, cast(first as int) start_line, cast(last as int) end_line from b left join p on p.doc_id = b.doc_id and p.sec = b.sec where body <> chr(10)""")
 def chunk_sections(spark, sf):
-    return chunking.section_chunks(table(spark, sf, "documents").select("doc_id", "text")).drop("text").withColumn("section_path", F.array_join("section_path", " > "))
+    return chunking.section_chunks(corpus.headed(spark, sf)).drop("text").withColumn("section_path", F.array_join("section_path", " > "))
 
 
 @query(f"""with l as (select doc_id, unnest(range(0, len(q))) i, unnest(q) line from (select doc_id, string_split(text, chr(10)) q from {DOUBLE_LINES})),
@@ -151,7 +153,7 @@ def times(word: str) -> str:
 
 
 def found(spark, sf, text: str, limit: int | None = None) -> DataFrame:
-    index = fts.build_index(corpus.chunks(spark, sf))
+    index = corpus.index(spark, sf)
     hits = fts.matches(index, text) if limit is None else fts.search(index, text, limit)
     return hits.select("chunk_id", F.round("score", 6).alias("score"))
 
@@ -181,6 +183,12 @@ def fts_phrase(spark, sf):
     return found(spark, sf, '"of the"')
 
 
+@query(bm25_sql([("a", times("the")), ("b", times("of")), ("no_n", "len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'the' and list_contains(t[greatest(i - 3, 1) : i + 3], 'of')))")], "no_n > 0"))
+def fts_near(spark, sf):
+    """At most two words between the two."""
+    return found(spark, sf, "NEAR(the of, 2)")
+
+
 @query(bm25_sql([("a", times("the")), ("b", times("and")), ("c", times("of"))], "a > 0 and (b > 0 or c > 0)"))
 def fts_nested(spark, sf):
     return found(spark, sf, "the (and OR of)")
@@ -194,12 +202,12 @@ def fts_topk(spark, sf):
 
 @query(f"select cast(count(*) as bigint) n, sum(len(t)) terms, round(avg(len(t)), 6) mean from (select {INDEX_TERMS} t from documents)")
 def doc_stats(spark, sf):
-    return fts.build_index(corpus.chunks(spark, sf)).documents.agg(F.count("*").alias("n"), F.sum("length").alias("terms"), F.round(F.avg("length"), 6).alias("mean"))
+    return corpus.index(spark, sf).documents.agg(F.count("*").alias("n"), F.sum("length").alias("terms"), F.round(F.avg("length"), 6).alias("mean"))
 
 
 @query(f"select term, count(distinct doc_id) df, count(*) tf from (select doc_id, unnest({INDEX_TERMS}) term from documents) group by term")
 def term_df(spark, sf):
-    return fts.build_index(corpus.chunks(spark, sf)).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("tf"))
+    return corpus.index(spark, sf).postings.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions").cast("long")).alias("tf"))
 
 
 def okapi_sql(part: str, asked: dict[str, int]) -> str:
@@ -228,17 +236,10 @@ def okapi_partitions_topk(spark, sf):
     return fts.okapi_top(scored, 30, "doc_id", "source").select("doc_id", "score")
 
 
-@query(rf"select doc_id, regexp_extract_all(lower(substr(text, 1, 200)), '[\p{{L}}\p{{N}}_]+') || ['document', lang] terms from documents")
+@query(rf"select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') || ['document', lang] terms from documents")
 def bm25_document(spark, sf):
     """Terms of the content and of the metadata's text."""
     about = F.from_json(F.to_json(F.struct(F.lit("document").alias("kind"), F.col("lang").alias("name"))), units.METADATA)
-    return table(spark, sf, "documents").select("doc_id", F.concat(x.terms(F.substring("text", 1, 200)), x.terms(x.metadata_text(about))).alias("terms"))
-
-
-@query()
-def bm25_document_whole(spark, sf):
-    """bm25_document over whole texts; that query's SQL reads their first 200 characters."""
-    about = F.from_json(F.to_json(F.struct(F.lit("document").alias("kind"), F.col("lang").alias("name"))), units.METADATA)
     return table(spark, sf, "documents").select("doc_id", F.concat(x.terms("text"), x.terms(x.metadata_text(about))).alias("terms"))
 
 
@@ -265,108 +266,100 @@ def node_search(spark, sf):
     return vector.merged_top_k(parts, 7).withColumn("score", F.round("score", 6))
 
 
-# fusion
-
+@query(rf"""with s as (select doc_id, place, sum(sign) v from (select doc_id, cast('0x' || substr(md5(term), 1, 8) as bigint) % 64 place, case when substr(md5(term), 9, 1) < '8' then 1e0 else -1e0 end sign from (select doc_id, unnest({TERMS}) term from documents)) group by all having sum(sign) <> 0)
+select doc_id, place, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as value from s""")
+def hash_embedding(spark, sf):
+    return embed.weights(table(spark, sf, "documents"), "doc_id", dim=64).withColumn("value", F.round("value", 6))
 
-def candidates(spark, sf) -> DataFrame:
-    """Scores that four searches might give: hashes of ids; graph scores name units of ten documents."""
-    docs = table(spark, sf, "documents").select("doc_id")
-    one = lambda name, keep, score, key=F.col("doc_id"): docs.filter(keep).select(F.lit(name).alias("modality"), key.cast("string").alias("id"), score.cast("double").alias("score"))
-    k = F.col("doc_id")
-    parts = [one("content", k % 3 == 0, (k * 7919) % 1000), one("metadata", k % 4 == 0, (k * 104729) % 1000), one("terms", k % 5 == 0, (k * 1299709) % 1000), one("graph", k % 50 == 0, (k * 15485863) % 100, F.concat(F.lit("u"), (k / 10).cast("long").cast("string")))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
+@query(rf"""with e as (select verb, min(pos) pos from {TRIPLES_SQL} group by verb), t as (select verb, unnest(regexp_extract_all(lower(replace(verb, '_', ' ')), '[\p{{L}}\p{{N}}_]+')) term from e),
+s as (select verb, cast('0x' || substr(md5(term), 1, 8) as bigint) % 64 place, sum(case when substr(md5(term), 9, 1) < '8' then 1e0 else -1e0 end) v from t group by all),
+q as (select cast('0x' || substr(md5(term), 1, 8) as bigint) % 64 place, sum(case when substr(md5(term), 9, 1) < '8' then 1e0 else -1e0 end) v from (select unnest(['lives', 'in']) term) group by 1)
+select verb id, pos, round(coalesce((select sum(s.v * q.v) from s join q using (place) where s.verb = e.verb), 0) / sqrt((select sum(s.v * s.v) from s where s.verb = e.verb)) / sqrt((select sum(q.v * q.v) from q)), 5) score from e order by score desc, id limit 3""")
+def verb_search(spark, sf):
+    """The verbs that are closest to a phrase."""
+    phrase = embed.embedded(spark.createDataFrame([("lives in",)], "text string"), dim=64).first()["embedding"]
+    vectors = embed.verb_vectors(corpus.triples(spark, sf), 64)
+    return vector.top_k(vectors, phrase, 3, "id").join(vectors.select("id", "pos"), "id").withColumn("score", F.round("score", 5))
 
-def unit_chunks(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.concat(F.lit("u"), (F.col("doc_id") / 10).cast("long").cast("string")).alias("unit_id"), F.col("text").alias("content"))
 
+# fusion
 
-CANDIDATES = """(select 'content' modality, cast(doc_id as varchar) id, cast(doc_id * 7919 % 1000 as double) score from documents where doc_id % 3 = 0 union all select 'metadata', cast(doc_id as varchar), doc_id * 104729 % 1000 from documents where doc_id % 4 = 0
- union all select 'terms', cast(doc_id as varchar), doc_id * 1299709 % 1000 from documents where doc_id % 5 = 0 union all select 'graph', 'u' || doc_id // 10, doc_id * 15485863 % 100 from documents where doc_id % 50 = 0)"""
-NORMED = f"(select modality, id, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else cast(1.0 as double) end score from {CANDIDATES} window w as (partition by modality))"
-FUSED = f"""(select id, a, b, c, g, (cast({{0}} as double) * a + cast({{1}} as double) * b + cast({{2}} as double) * c + cast({{3}} as double) * g) / cast({{4}} as double) score from (select id, {", ".join(f"coalesce(max(score) filter (modality = '{m}'), cast(0.0 as double)) {n}" for m, n in zip(fusion.MODALITIES, "abcg", strict=True))}
- from (select modality, id, score from {NORMED} where modality <> 'graph' union all select 'graph', cast(doc_id as varchar), max(score) from {NORMED} join documents on id = 'u' || doc_id // 10 where modality = 'graph' group by doc_id) group by id))"""
+METADATA_VECTOR = [((k * 53) % 23 - 11) / 10 for k in range(64)]
+METADATA_COSINE = COSINE.replace(str(QUERY_VECTOR), str(METADATA_VECTOR)).replace(repr(sum(v * v for v in QUERY_VECTOR) ** 0.5), repr(sum(v * v for v in METADATA_VECTOR) ** 0.5))
 
 
-@query(f"select modality, id, round(score, 6) score from {NORMED}")
-def minmax_norm(spark, sf):
-    return fusion.normalized_scores(candidates(spark, sf)).withColumn("score", F.round("score", 6))
+def candidates(spark, sf) -> DataFrame:
+    """What four searches give: two over vectors, one over the terms of whole texts, one over a graph of sources, which are the units."""
+    row = lambda df, name, key, score: df.select(F.lit(name).alias("modality"), F.col(key).cast("string").alias("id"), F.round(score, 6).alias("score"))
+    vectors = table(spark, sf, "embeddings")
+    content, about = (row(vectors, name, "vec_id", vector.cosine(vectors, q)) for name, q in (("content", QUERY_VECTOR), ("metadata", METADATA_VECTOR)))
+    words = row(fts.okapi(tokens(spark, sf), "the une", "doc_id"), "terms", "doc_id", F.col("score"))
+    reached = graph.traverse(graph.adjacency(corpus.source_chain(spark, sf)), corpus.FIRST_SOURCE)
+    return content.unionByName(about).unionByName(words).unionByName(row(reached, "graph", "node", F.col("score")))
 
 
-@query(f"select cast(doc_id as varchar) id, round(max(score), 6) score from {NORMED} join documents on id = 'u' || doc_id // 10 where modality = 'graph' group by doc_id")
-def graph_scores_of_chunks(spark, sf):
-    graph_only = fusion.normalized_scores(candidates(spark, sf)).filter("modality = 'graph'")
-    return fusion.spread_to_chunks(graph_only, unit_chunks(spark, sf)).withColumn("score", F.round("score", 6))
+def unit_chunks(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("unit_id"), F.col("text").alias("content"))
 
 
-def fused_sql(weights: fusion.SearchWeights, rest: str) -> str:
-    return f"select id chunk_id, round(score, 6) score, case when a >= greatest(a, b, c, g) then 'vector' when b >= greatest(a, b, c, g) then 'metadata' when c >= greatest(a, b, c, g) then 'bm25' else 'graph' end source from {FUSED.format(weights.content, weights.metadata, weights.terms, weights.graph, weights.total)} {rest}"
+CANDIDATES = f"""(select 'content' modality, cast(vec_id as varchar) id, round({COSINE}, 6) score from embeddings union all select 'metadata', cast(vec_id as varchar), round({METADATA_COSINE}, 6) from embeddings
+ union all select 'terms', cast(doc_id as varchar), score from ({okapi_sql("0", {"the": 1, "une": 1})})
+ union all select 'graph', node, round(1e0 / (min(depth) + 1), 6) from (with recursive s as (select source, lead(source) over (order by source) after from (select distinct source from documents)), r as (select '{corpus.FIRST_SOURCE}' node, -1 depth union select after, depth + 1 from r join s on source = node where after is not null and depth < 2) select * from r where depth >= 0) group by node)"""
+FETCHED = f"(with c as materialized (select * from {CANDIDATES}) select * from c where modality = 'graph' union all select * from (select * from c where modality <> 'graph' qualify row_number() over (partition by modality order by score desc, id) <= {20 * fusion.OVER_FETCH}))"
 
 
-@query(fused_sql(fusion.SearchWeights(), "order by score desc, chunk_id limit 20"))
-def fused_search(spark, sf):
-    return fusion.search(candidates(spark, sf), unit_chunks(spark, sf)).select("chunk_id", F.round("score", 6).alias("score"), "source")
+def normed_sql(of: str) -> str:
+    return f"(select modality, id, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else cast(1.0 as double) end score from {of} window w as (partition by modality))"
 
 
-@query(fused_sql(fusion.weights_for("structural"), ""))
-def fused_structural(spark, sf):
-    return fusion.search(candidates(spark, sf), unit_chunks(spark, sf), None, fusion.weights_for("structural")).select("chunk_id", F.round("score", 6).alias("score"), "source")
+def fused_of(of: str, weights: fusion.SearchWeights) -> str:
+    w = [f"cast({v} as double)" for v in (weights.content, weights.metadata, weights.terms, weights.graph, weights.total)]
+    return f"""(with n as materialized (select * from {normed_sql(of)}) select id, a, b, c, g, ({w[0]} * a + {w[1]} * b + {w[2]} * c + {w[3]} * g) / {w[4]} score from (select id, {", ".join(f"coalesce(max(score) filter (modality = '{m}'), cast(0.0 as double)) {k}" for m, k in zip(fusion.MODALITIES, "abcg", strict=True))}
+ from (select modality, id, score from n where modality <> 'graph' union all select 'graph', cast(doc_id as varchar), max(score) from n join documents on id = source where modality = 'graph' group by doc_id) group by id) where id in (select cast(doc_id as varchar) from documents))"""
 
 
-@query(f"select cast(doc_id as varchar) chunk_id, round(score, 4) score, substr(text, 1, 500) as content from (select id, score from {FUSED.format(0.35, 0.25, 0.25, 0.15, 1.0)} order by score desc, id limit 20) join documents on id = cast(doc_id as varchar)")
-def search_projection(spark, sf):
-    return fusion.shown(fusion.search(candidates(spark, sf), unit_chunks(spark, sf))).select("chunk_id", "score", "content")
-
-
-def all_candidates(spark, sf) -> DataFrame:
-    """The scores of candidates() without its filters: each document by content, metadata and terms, each unit by its best document."""
-    k = F.col("doc_id")
-    docs = table(spark, sf, "documents").select(k, F.concat(F.lit("u"), (k / 10).cast("long").cast("string")).alias("unit"))
-    one = lambda name, score: docs.select(F.lit(name).alias("modality"), k.cast("string").alias("id"), score.cast("double").alias("score"))
-    units_of = docs.groupBy(F.col("unit").alias("id")).agg(F.max((k * 15485863) % 100).cast("double").alias("score")).select(F.lit("graph").alias("modality"), "id", "score")
-    return one("content", (k * 7919) % 1000).unionByName(one("metadata", (k * 104729) % 1000)).unionByName(one("terms", (k * 1299709) % 1000)).unionByName(units_of)
+@query(f"select modality, id, round(score, 5) score from {normed_sql(CANDIDATES)}")
+def minmax_norm(spark, sf):
+    return fusion.normalized_scores(candidates(spark, sf)).withColumn("score", F.round("score", 5))
 
 
-# the five queries above over whole tables; their SQL keeps documents of some ids only
+@query(f"select cast(doc_id as varchar) id, round(max(score), 5) score from {normed_sql(CANDIDATES)} join documents on id = source where modality = 'graph' group by doc_id")
+def graph_scores_of_chunks(spark, sf):
+    graph_only = fusion.normalized_scores(candidates(spark, sf)).filter("modality = 'graph'")
+    return fusion.spread_to_chunks(graph_only, unit_chunks(spark, sf)).withColumn("score", F.round("score", 5))
 
 
-@query()
-def minmax_norm_whole(spark, sf):
-    return fusion.normalized_scores(all_candidates(spark, sf)).withColumn("score", F.round("score", 6))
+@query(f"select modality, id, score from {FETCHED}")
+def over_fetch(spark, sf):
+    """Of each search three times as many candidates as results."""
+    return fusion.over_fetched(candidates(spark, sf), 20)
 
 
-@query()
-def graph_scores_of_chunks_whole(spark, sf):
-    graph_only = fusion.normalized_scores(all_candidates(spark, sf)).filter("modality = 'graph'")
-    return fusion.spread_to_chunks(graph_only, unit_chunks(spark, sf)).withColumn("score", F.round("score", 6))
+def fused_sql(of: str, weights: fusion.SearchWeights, rest: str) -> str:
+    return f"select id chunk_id, round(score, 5) score, case when a >= greatest(a, b, c, g) then 'vector' when b >= greatest(a, b, c, g) then 'metadata' when c >= greatest(a, b, c, g) then 'bm25' else 'graph' end source from {fused_of(of, weights)} {rest}"
 
 
-@query()
-def fused_search_whole(spark, sf):
-    return fusion.search(all_candidates(spark, sf), unit_chunks(spark, sf)).select("chunk_id", F.round("score", 6).alias("score"), "source")
+@query(fused_sql(FETCHED, fusion.SearchWeights(), "order by score desc, chunk_id limit 20"))
+def fused_search(spark, sf):
+    return fusion.search(fusion.over_fetched(candidates(spark, sf), 20), unit_chunks(spark, sf)).select("chunk_id", F.round("score", 5).alias("score"), "source")
 
 
-@query()
-def fused_structural_whole(spark, sf):
-    return fusion.search(all_candidates(spark, sf), unit_chunks(spark, sf), None, fusion.weights_for("structural")).select("chunk_id", F.round("score", 6).alias("score"), "source")
+@query(fused_sql(CANDIDATES, fusion.weights_for("structural"), ""))
+def fused_structural(spark, sf):
+    return fusion.search(candidates(spark, sf), unit_chunks(spark, sf), None, fusion.weights_for("structural")).select("chunk_id", F.round("score", 5).alias("score"), "source")
 
 
-@query()
-def search_projection_whole(spark, sf):
-    return fusion.shown(fusion.search(all_candidates(spark, sf), unit_chunks(spark, sf))).select("chunk_id", "score", "content")
+@query(f"select cast(doc_id as varchar) chunk_id, round(score, 4) score, substr(text, 1, 500) as content from (select id, score from {fused_of(FETCHED, fusion.SearchWeights())} order by score desc, id limit 20) join documents on id = cast(doc_id as varchar)")
+def search_projection(spark, sf):
+    return fusion.shown(fusion.search(fusion.over_fetched(candidates(spark, sf), 20), unit_chunks(spark, sf))).select("chunk_id", "score", "content")
 
 
 WORDS = lambda of: " or ".join(f"contains(lower(q), '{w}')" for w in of)
 
 
-@query(rf"with t as (select doc_id, substr(text, 1, 40) q from documents) select doc_id, i intent, cast(w[1] as double) content, cast(w[2] as double) metadata, cast(w[3] as double) terms, cast(w[4] as double) graph from (select *, case i {' '.join(f"when '{k}' then {[float(v) for v in w]}" for k, w in fixed.INTENT_WEIGHTS.items())} end w from (select *, case when {WORDS(fixed.STRUCTURAL_WORDS)} then 'structural' when {WORDS(fixed.HISTORY_WORDS)} then 'history' when regexp_matches(q, '[_.]') or (regexp_matches(q, '\p{{Lu}}') and regexp_matches(q, '\p{{Ll}}')) then 'code' else 'conceptual' end i from t))")
+@query(rf"with t as (select doc_id, text q from documents) select doc_id, i intent, cast(w[1] as double) content, cast(w[2] as double) metadata, cast(w[3] as double) terms, cast(w[4] as double) graph from (select *, case i {' '.join(f"when '{k}' then {[float(v) for v in w]}" for k, w in fixed.INTENT_WEIGHTS.items())} end w from (select *, case when {WORDS(fixed.STRUCTURAL_WORDS)} then 'structural' when {WORDS(fixed.HISTORY_WORDS)} then 'history' when regexp_matches(q, '[_.]') or (regexp_matches(q, '\p{{Lu}}') and regexp_matches(q, '\p{{Ll}}')) then 'code' else 'conceptual' end i from t))")
 def intent_weights(spark, sf):
-    return weights_of(table(spark, sf, "documents").select("doc_id", x.intent(F.substring("text", 1, 40)).alias("intent")))
-
-
-@query()
-def intent_weights_whole(spark, sf):
-    """intent_weights over whole texts; that query's SQL reads their first 40 characters."""
     return weights_of(table(spark, sf, "documents").select("doc_id", x.intent("text").alias("intent")))
 
 
@@ -488,9 +481,15 @@ def collection_profile(spark, sf):
     return handles.profile(corpus.file_handles(spark, sf))
 
 
-@query(f"select handle, path from {HANDLES_SQL} where media_type = 'text/html' and regexp_matches(path, '^src1.*/.*[02468]\\.html$') order by path limit 1000000")
+@query(f"select handle, path from {HANDLES_SQL} where media_type = 'text/html' and regexp_matches(path, '^src1.*/.*[13579]\\.html$')")
 def collection_filter(spark, sf):
-    return handles.filtered(corpus.file_handles(spark, sf), path_glob="src1*/*[02468].html", media_type="text/html").select("handle", "path")
+    return handles.filtered(corpus.file_handles(spark, sf), path_glob="src1*/*[13579].html", media_type="text/html").select("handle", "path")
+
+
+@query(f"select count(*) filter (m) members, count(*) filter (not m) skipped, 'text/html' as types, count(*) filter (m) html from (select regexp_matches(path, '^src1.*/.*[13579]\\.html$') and media_type = 'text/html' m from {HANDLES_SQL})")
+def collection_filter_counts(spark, sf):
+    made = handles.filter_counts(corpus.file_handles(spark, sf), path_glob="src1*/*[13579].html", media_type="text/html")
+    return made.select("members", "skipped", F.array_join(F.map_keys("media_types"), ",").alias("types"), F.col("media_types")["text/html"].alias("html"))
 
 
 @query(f"select handle from {HANDLES_SQL} where kind in ('file_ref', 'index') and index_state = 'indexable'")
@@ -572,6 +571,26 @@ def summary_counts(spark, sf):
     return sync.summary(corpus.file_handles(spark, sf), derived_edges(spark, sf), path_status(spark, sf), corpus.chunks(spark, sf))
 
 
+@query(f"""with g as (select * from (select distinct 'hf_' || sha256(content) handle from {FILES_SQL}) where handle not in (select 'hf_' || sha256(content) from {FILES_SQL} where doc_id % 10 <> 7))
+select 'handle' what, handle as key from g union all select distinct 'edge', d.handle || '>hf_' || sha256(content) from {DERIVED} d join g on g.handle = 'hf_' || sha256(content) union all select 'path', path from {FILES_SQL} join g on handle = 'hf_' || sha256(content)""")
+def deleted_cascade(spark, sf):
+    """What goes with the contents of which no file is left."""
+    f = corpus.files(spark, sf)
+    own = f.select("doc_id", x.file_handle("content").alias("handle"), "path")
+    edges = derivatives(spark, sf).select(F.col("handle").alias("child"), F.concat(F.lit("hf_"), "sha256").alias("parent"))
+    return sync.cascade(corpus.file_handles(spark, sf), edges, own.select("handle", "path"), own.filter("doc_id % 10 <> 7").select("handle").distinct())
+
+
+@query("select count(distinct source) partitions, count(*) files, count(*) chunks from documents")
+def partition_totals(spark, sf):
+    return sync.totals(corpus.files(spark, sf).select(x.partition_key("path").alias("partition_key"), "path"))
+
+
+@query("select user_id, ts, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
+def harvested_newest(spark, sf):
+    return sync.harvested(table(spark, sf, "events").select("user_id", "ts", "event_id"), "user_id", "ts")
+
+
 # graph
 
 ADJACENT = f"adj as (select subject node, verb, object as next, pos, 0 back from {TRIPLES_SQL} union all select object, verb, subject, pos, 1 from {TRIPLES_SQL} where bidirectional)"
@@ -644,14 +663,29 @@ def html_to_markdown(spark, sf):
     return html.markdown(table(spark, sf, "pages").select("page_id", "html"))
 
 
-@query()
+PRICE_SQL = "cast(cast(p_retailprice as decimal(12, 2)) as varchar)"
+
+
+@query(f"select p_partkey, 1 table_index, p_type caption, 'Size|Price' header, p_size || '|' || {PRICE_SQL} || '/' || '1,000|no' cells, '| Size | Price |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_size || ' | ' || {PRICE_SQL} || ' |' || chr(10) || '| 1,000 | no |' || chr(10) as markdown from part")
 def html_tables(spark, sf):
-    return html.tables(table(spark, sf, "pages").select("page_id", "html"))
+    found = html.tables(corpus.part_pages(spark, sf))
+    return found.select("p_partkey", "table_index", "caption", F.array_join("header", "|").alias("header"), F.array_join(F.transform("rows_raw", lambda r: F.array_join(r, "|")), "/").alias("cells"), "markdown")
 
 
-@query()
+@query("select p_partkey, 1 figure_index, p_partkey || '.png' src, p_name alt, p_brand caption, '![' || p_name || '](' || p_partkey || '.png)' || chr(10) || chr(10) || p_brand || chr(10) as markdown from part")
 def html_figures(spark, sf):
-    return html.figures(table(spark, sf, "pages").select("page_id", "html"))
+    return html.figures(corpus.part_pages(spark, sf))
+
+
+@query("select p_partkey, 1 image_index, p_partkey || '.png' src, 'https://h/a/' || p_partkey || '.png' resolved_src, p_name alt from part")
+def html_images(spark, sf):
+    return html.images(corpus.part_pages(spark, sf), base_url="https://h/a/b").select("p_partkey", "image_index", "src", "resolved_src", "alt")
+
+
+@query(f"""select p_partkey, concat_ws(chr(10) || chr(10), 't', '# Part ' || p_partkey, 'A **' || p_brand || '** of *' || p_type || '* [here](/p' || p_partkey || ').', '- one' || chr(10) || '  1. inner' || chr(10) || '- two', '> quoted', '```' || chr(10) || 'x  = 1' || chr(10) || '```',
+ '| Size | Price |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_size || ' | ' || {PRICE_SQL} || ' |' || chr(10) || '| 1,000 | no |', '![' || p_name || '](' || p_partkey || '.png)', p_brand) || chr(10) as markdown from part""")
+def html_markdown_of_parts(spark, sf):
+    return html.markdown(corpus.part_pages(spark, sf))
 
 
 @query(r"""with c as (select o_orderpriority as tab, 0 col, cast(o_orderkey as varchar) as text from orders union all select o_orderpriority, 1, cast(o_custkey as varchar) || '.5' from orders union all select o_orderpriority, 2, case when o_orderkey % 2 = 0 then 'yes' else 'FALSE' end from orders union all select o_orderpriority, 3, o_orderstatus from orders union all select o_orderpriority, 4, '  ' from orders)
@@ -700,12 +734,14 @@ def fallback_units(spark, sf):
     return units.parsed_units(other.withColumn("content", F.regexp_replace("content", r"\n+$", ""))).select("path", "unit_id", "kind", "end_line")
 
 
-@query()
+@query("""select 'm' || p_partkey || '.py' path, 'm' || p_partkey unit_id, 'module' kind, 0 start_line, 7 end_line, cast(null as varchar) calls from part union all select 'm' || p_partkey || '.py', 'm' || p_partkey || '.K', 'class', 2, 4, '[]' from part
+ union all select 'm' || p_partkey || '.py', 'm' || p_partkey || '.K.m', 'method', 3, 4, '[{"raw":"f' || p_partkey || '","resolved_unit_id":"m' || p_partkey || '.f' || p_partkey || '"}]' from part
+ union all select 'm' || p_partkey || '.py', 'm' || p_partkey || '.f' || p_partkey, 'function', 6, 7, '[{"raw":"os.path.join","resolved_unit_id":"os.path.join"}]' from part""")
 def python_units(spark, sf):
     """A module of one class and one function per part."""
     code = F.concat(F.lit("import os\n\nclass K(Base):\n    def m(self):\n        return f"), F.col("p_partkey").cast("string"), F.lit("()\n\ndef f"), F.col("p_partkey").cast("string"), F.lit("(a, b=1):\n    return os.path.join(a)\n"))
-    made = units.parsed_units(table(spark, sf, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content")))
-    return units.with_resolved_calls(made).select("path", "unit_id", "kind", "start_line", "end_line", F.to_json("metadata.calls_made").alias("calls"))
+    made = units.parsed_units(table(spark, sf, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), code.alias("content")), resolve=True)
+    return made.select("path", "unit_id", "kind", "start_line", "end_line", F.to_json("metadata.calls_made").alias("calls"))
 
 
 @query("""select p_partkey || '.py' path, raw, case raw when 'helper' then 'lib.helper' when 'np.dot' then 'numpy.dot' when 'self.run' then 'm.K.run' when 'K.run' then 'm.K.run' when 'twice' then null end resolved_unit_id from part, (select unnest(['helper', 'np.dot', 'self.run', 'K.run', 'twice', 'x.y.nothing']) raw)""")
@@ -718,14 +754,8 @@ def call_resolution(spark, sf):
     return units.resolved_calls(rows(("raw",), ("helper",), ("np.dot",), ("self.run",), ("K.run",), ("twice",), ("x.y.nothing",)), names)
 
 
-@query("select doc_id, list_distinct_ordered as terms from (select doc_id, array_to_string(list_transform(list_sort(list_transform(range(1, len(l) + 1), lambda i: {'p': list_position(l, l[i]), 'w': l[i]})), lambda s: s.w), ' ') u, array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: case when list_position(l, l[i]) = i then l[i] end), lambda w: w is not null), ' ') list_distinct_ordered from (select doc_id, string_split(substr(text, 1, 300), ' ') l from documents))")
+@query("select doc_id, coalesce(terms, '') terms from documents left join (select doc_id, string_agg(w, ' ' order by i) terms from (select doc_id, w, min(i) i from (select doc_id, unnest(range(1, len(l) + 1)) i, unnest(l) w from (select doc_id, string_split(text, ' ') l from documents)) group by all) group by doc_id) using (doc_id)")
 def ordered_distinct(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.substring("text", 1, 300), " ")), " ").alias("terms"))
-
-
-@query()
-def ordered_distinct_whole(spark, sf):
-    """ordered_distinct over whole texts; that query's SQL reads their first 300 characters."""
     return table(spark, sf, "documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("terms"))
 
 
@@ -750,6 +780,53 @@ def materialize_symbols(spark, sf):
     return materialize.dispatch(derivatives(spark, sf))["code_graph"].drop("payload")
 
 
+def registered(spark, sf, name: str) -> DataFrame:
+    return materialize.dispatch(derivatives(spark, sf))[name].drop("payload")
+
+
+@query(f"select 'table_' || handle id, handle source_handle, '' caption from {DERIVED} where derivative_type = 'table'")
+def materialize_tables(spark, sf):
+    return registered(spark, sf, "table_store")
+
+
+@query(f"select 'figure_' || handle id, handle source_handle, '' src, '' caption from {DERIVED} where derivative_type = 'figure'")
+def materialize_figures(spark, sf):
+    return registered(spark, sf, "figure_index")
+
+
+@query(f"select 'image_' || handle id, handle source_handle, '' src from {DERIVED} where derivative_type = 'image'")
+def materialize_images(spark, sf):
+    return registered(spark, sf, "image_registry")
+
+
+@query(f"select 'reference_' || handle id, handle source_handle from {DERIVED} where derivative_type = 'reference'")
+def materialize_references(spark, sf):
+    return registered(spark, sf, "reference_graph")
+
+
+@query(f"select 'style_' || handle id, handle source_handle, '' selector from {DERIVED} where derivative_type = 'style_rule'")
+def materialize_styles(spark, sf):
+    return registered(spark, sf, "style_rule_index")
+
+
+def materialized_sql(name: str, parts: str) -> str:
+    """SQL of the chunks of extracted Markdown; parts: SQL of greedy packing over (doc_id, text)."""
+    return f"select 'chunk_' || handle || '_{name}_' || ordinal chunk_id, label path, handle source_handle, '{name}' materializer, ordinal, p.content from ({parts}) p join {DERIVED} d on d.label = p.doc_id"
+
+
+MARKDOWN = f"(select label doc_id, content as text from {DERIVED} where derivative_type = 'extracted_markdown')"
+
+
+@query(materialized_sql("paragraph_chunks", packed(numbered(rf"string_split_regex({normal('text')}, '\n\s*\n')", MARKDOWN), 2000, "\n\n", "text/paragraph", "paragraph")))
+def materialize_paragraphs(spark, sf):
+    return materialize.dispatch(derivatives(spark, sf))["paragraph_chunks"]
+
+
+@query(materialized_sql("sentence_chunks", packed(numbered(rf"string_split_regex(regexp_replace(replace({normal('text')}, chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))", MARKDOWN), 700, " ", "text/sentence", "sentence")))
+def materialize_sentences(spark, sf):
+    return materialize.dispatch(derivatives(spark, sf), {"extracted_markdown": ["sentence_chunks"]}, 700)["sentence_chunks"]
+
+
 @query(f"select 'chunk_' || handle || '_full_text_chunk_0' chunk_id, label path, handle source_handle, 'full_text_chunk' materializer, 0 ordinal, {normal('content')} as content from {DERIVED} where derivative_type = 'extracted_markdown' and {strip('content')} <> ''")
 def materialize_chunks(spark, sf):
     return materialize.dispatch(derivatives(spark, sf), {"extracted_markdown": ["full_text_chunk"]})["full_text_chunk"]

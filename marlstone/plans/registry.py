@@ -9,6 +9,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
+from marlstone.operators import chunking
+
 
 @dataclass(frozen=True)
 class Operator:
@@ -104,9 +106,54 @@ def add(a: float, b: float) -> float:
     return a + b
 
 
+def _chunks(text: str, chunk: Callable, **sizes) -> list[dict]:
+    from pyspark.sql import SparkSession
+
+    df = SparkSession.builder.getOrCreate().createDataFrame([(text,)], "text string")
+    return [r.asDict() for r in chunk(df, "text", **sizes).drop("text").orderBy("ordinal").collect()]
+
+
+@operator(description="A text as one chunk.", requires="text", produces="chunks")
+def chunk_full_text(text: str) -> list[dict]:
+    return _chunks(text, chunking.full_text_chunks)
+
+
+@operator(description="A Markdown text by its headings.", requires="text", produces="chunks")
+def chunk_sections(text: str) -> list[dict]:
+    return _chunks(text, chunking.section_chunks)
+
+
+@operator(description="A text by paragraphs, packed up to a size.", requires="text", produces="chunks")
+def chunk_paragraphs(text: str, most: int = 2000) -> list[dict]:
+    return _chunks(text, chunking.paragraph_chunks, most=most)
+
+
+@operator(description="A text by sentences, packed up to a size.", requires="text", produces="chunks")
+def chunk_sentences(text: str, most: int = 1200) -> list[dict]:
+    return _chunks(text, chunking.sentence_chunks, most=most)
+
+
+@operator(description="The best chunks of an index for a full-text query.", requires="index", produces="chunks")
+def full_text_search(target: str, query: str, limit: int = 10) -> list[dict]:
+    from marlstone import cli
+
+    return cli.search(cli.session(), target, query, limit)
+
+
+@operator(description="How many handles, edges, paths and chunks an index has.", requires="index", produces="counts")
+def index_summary(target: str) -> list[dict]:
+    from marlstone import cli
+
+    return cli.summary(cli.session(), target)
+
+
+BUILT_IN = (echo, add, chunk_full_text, chunk_sections, chunk_paragraphs, chunk_sentences, full_text_search, index_summary)
+
+
 def default_registry(*roots: str | Path) -> Registry:
+    """The library's own operators, then those of folders of extensions."""
     registry = Registry()
-    registry.add(echo)
-    registry.add(add)
+    for f in BUILT_IN:
+        registry.add(f)
     registry.load_folders(*roots)
     return registry

@@ -71,13 +71,16 @@ def _unary(f):
     return lambda x: f(x)
 
 
-def discover(files: DataFrame, rules: dict[str, list[str]] | None = None, delegates: list[str] = (), inherit: bool = False) -> DataFrame:
+def discover(files: DataFrame, rules: dict[str, list[str]] | None = None, delegates: list[str] = (), inherit: bool = False, most_bytes: int | None = fixed.MAX_FILE_BYTES) -> DataFrame:
     """Text files (path, size_bytes, …) to index, less hidden folders, delegated subtrees, ignored, empty and large ones.
 
     rules: lines of the ignore files of each folder ('' for the root). They hold for what is directly in the
-    folder, and with ``inherit`` for all below; patterns are matched on paths from the root.
+    folder, and with ``inherit`` for all below; patterns are matched on paths from the root. most_bytes: the size
+    up to which files count, or None.
     """
-    kept = files.filter(x.is_text_file("path") & (F.col("size_bytes") > 0) & (F.col("size_bytes") <= fixed.MAX_FILE_BYTES))
+    kept = files.filter(x.is_text_file("path") & (F.col("size_bytes") > 0))
+    if most_bytes is not None:
+        kept = kept.filter(F.col("size_bytes") <= most_bytes)
     parts = F.split("path", "/")
     kept = kept.filter(~F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.startswith(".")))
     for d in delegates:
@@ -98,6 +101,24 @@ def discover(files: DataFrame, rules: dict[str, list[str]] | None = None, delega
     return kept
 
 
+def ignore_rules(spark: SparkSession, root: str, folders: list[str] = ("",), name: str = ".gitignore") -> dict[str, list[str]]:
+    """Lines of the ignore files of folders below root ('' for the root itself), as ``discover`` takes them; folders without one are left out.
+
+    Read on the driver, as table scans pass over files whose names begin with a dot.
+    """
+    jvm, out = spark.sparkContext._jvm, {}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path("/".join(filter(None, [root.rstrip("/"), folder, name])))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                out[folder] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            finally:
+                stream.close()
+    return out
+
+
 def listed(files: DataFrame, glob: str = "*", most: int = 1000) -> tuple[DataFrame, dict]:
     """(the first matching files by path, {matched, returned, truncated})."""
     if not 1 <= most <= 10_000:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marlstone.operators.units import METADATA
 from marlstone.sources.files import empty
@@ -24,6 +25,20 @@ SCHEMAS = {
 PARTITIONED = ("chunks", "vectors")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; in local runs one below the warehouse."""
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not at and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
+
+
+def removed_at_exit(spark: SparkSession, at: str) -> None:
+    """Have a folder deleted when the application ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -56,6 +71,18 @@ class Store:
         for p in old:
             fs.delete(p, True)
 
+    def vectors(self, kind: str) -> DataFrame:
+        """Vectors of one kind: content, metadata, node or verb."""
+        return self.read("vectors").filter(F.col("kind") == kind)
+
+    def scope(self, index_path: str) -> DataFrame:
+        return self.read("scopes").filter(F.col("index_path") == index_path)
+
+    def save_scope(self, index_path: str, covers: str = "", delegates: list[str] = (), has_vectors: bool = False) -> None:
+        """Put one scope in the place of that of its path."""
+        new = self.spark.createDataFrame([(index_path, covers, list(delegates), has_vectors)], SCHEMAS["scopes"])
+        self.write("scopes", self.read("scopes").filter(F.col("index_path") != index_path).unionByName(new))
+
     def partitions(self, table: str) -> DataFrame:
         return self.read(table).select("partition_key").distinct().orderBy("partition_key")
 
