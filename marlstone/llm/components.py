@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import map_batches, stored
+from marlstone.llm.common import dropped, map_batches, stored
 
 
 def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,13 +42,18 @@ def union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) of any order and repetition, without nulls: (node, root) of every node that isn't the smallest of its component."""
+    """edges (a, b) of any order and repetition, without nulls: stored (node, root) of every node that isn't the smallest of its component."""
     edges = edges.select("a", "b").filter("a <> b")
-    labels = None
+    labels, read = None, []
     while True:
         edges = stored(map_batches(edges, edges.schema, union_find).distinct())
+        dropped(*read)
+        read = [edges]
         if edges.isEmpty():
-            return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            if labels is None:
+                labels = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("root")))
+            dropped(edges)
+            return labels
         low = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b")).filter("b < a")
         again = low.select(F.col("a").alias("b"), F.col("b").alias("c"))
         hooks = stored(low.join(again, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("root")))
@@ -56,6 +61,9 @@ def components(edges: DataFrame) -> DataFrame:
             labels = hooks
         else:
             known = labels.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-            labels = stored(known.unionByName(hooks.join(labels.select("node"), "node", "left_anti")))
+            longer = stored(known.unionByName(hooks.join(labels.select("node"), "node", "left_anti")))
+            dropped(labels)
+            labels = longer
+            read.append(hooks)
         to_a, to_b = hooks.select(F.col("node").alias("a"), F.col("root").alias("x")), hooks.select(F.col("node").alias("b"), F.col("root").alias("y"))
         edges = edges.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a <> b").distinct()

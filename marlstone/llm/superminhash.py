@@ -17,6 +17,8 @@ differences have in common. Unless both are linked with the centre, a link needs
 common differences, mostly a large one. So differences are sorted by how rare they are around the centre,
 and two members are paired only if the first one that they have in common comes early enough to
 leave that many behind it in both. This loses no link, and copies edited at random are hardly ever paired.
+Members that share a difference are first paired with one among them, and with each other only where that
+left them unconnected. The members of a centre are dealt over parts, its text to each part.
 
 Null and empty texts, and those without words, have empty sets and are linked with nothing. Rows that repeat
 an id keep a row each. Rows without an id can join a component but not name it.
@@ -32,7 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import map_batches, parts, stored
+from marlstone.llm.common import dropped, map_batches, stored
+from marlstone.llm.common import parts as parts_of
 from marlstone.llm.components import components
 from marlstone.llm.kernels import MIX_1, NOT_SPACE, U64, combine, hashed_words, list_array, mix, text_bytes
 
@@ -40,6 +43,8 @@ SLOTS, ROWS = 252, 6
 BANDS = SLOTS // ROWS
 #: Shingles whose permutations are held at once.
 HELD = 1 << 16
+#: Rows of a centre that meet in one task with its text, about; and copies of what is known of a centre.
+PER_PART, SALTS = 256, 32
 FRACTION = U64(56)
 
 
@@ -56,7 +61,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
 
 def _offer(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """(rank with fraction, place among the slots from step on) of each shingle in a step."""
-    random = mix(x + U64(step + 1) * MIX_1)
+    random = mix(x + U64((step + 1) * int(MIX_1) & (1 << 64) - 1))
     return (U64(step) << FRACTION) | (random >> U64(8)), step + (mix(random) % U64(SLOTS - step)).astype(np.int64)
 
 
@@ -121,7 +126,7 @@ def sketches(docs: DataFrame, key: str, text: str, size: int, carry: tuple[str,
     schema = T.StructType([docs.schema[key], *[docs.schema[c] for c in carry], T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, text):
+        for batch in parts_of(batches, text):
             shingles, offsets = shingle_sets(*text_bytes(batch.column(text)), size)
             bands = band_keys(signatures(shingles, offsets))
             classes = pa.array(class_digests(shingles, offsets), pa.binary())
@@ -137,7 +142,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -
     some = docs.select(F.col(key).alias("_own"), F.col(text).alias("text")).join(keys, F.col("_own").eqNullSafe(F.col("_key")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text"):
+        for batch in parts_of(batches, "text"):
             texts = batch.column("text")
             yield pa.RecordBatch.from_arrays([pa.array(class_digests(*shingle_sets(*text_bytes(texts), size)), pa.binary()), texts], schema.names)
 
@@ -151,7 +156,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text_a", "text_b"):
+        for batch in parts_of(batches, "text_a", "text_b"):
             one, i = shingle_sets(*text_bytes(batch.column("text_a")), size)
             two, j = shingle_sets(*text_bytes(batch.column("text_b")), size)
             similar = []
@@ -175,14 +180,29 @@ def _named(df: DataFrame, roots: DataFrame, of: str, label: str) -> DataFrame:
     return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(label)), of, "left").withColumn(label, F.coalesce(label, of))
 
 
+def _spread(group: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group with a part for each row, (centre, part)): the rows of a centre in parts of about PER_PART.
+
+    Rows learn how many parts their centre has by one of SALTS copies of that number, so no centre's rows meet in one task.
+    """
+    parts = group.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(PER_PART)).cast("int").alias("parts"))
+    parts = stored(parts)
+    copies = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = group.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(copies, ["centre", "salt"])
+    dealt = salted.withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts")).cast("int")).drop("salt", "parts")
+    return dealt, parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
 def _differences(group: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """group with the shingles that either the class or its centre has (items), and how many of the centre's it lacks."""
     text = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"text_{c}"))
-    joined = group.join(text("class"), "class").join(text("centre"), "centre")
+    dealt, parts = _spread(group)
+    # a centre's text goes to each part of its rows
+    joined = dealt.join(text("class"), "class").join(text("centre").join(parts, "centre"), ["centre", "part"])
     schema = T.StructType([*group.select("class", "n", "label", "centre", "n_centre", "label_centre").schema, T.StructField("lacks", T.LongType()), T.StructField("items", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "text_class", "text_centre"):
+        for batch in parts_of(batches, "text_class", "text_centre"):
             own, i = shingle_sets(*text_bytes(batch.column("text_class")), size)
             other, j = shingle_sets(*text_bytes(batch.column("text_centre")), size)
             items = [np.setxor1d(own[i[k] : i[k + 1]], other[j[k] : j[k + 1]], assume_unique=True) for k in range(len(batch))]
@@ -194,26 +214,51 @@ def _differences(group: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return map_batches(joined.select(*schema.names[:-2], "text_class", "text_centre"), schema, run)
 
 
-def _by_differences(group: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a centre's unconnected members that have enough differences from it in common, maybe.
+def _shared_differences(group: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(c, item, class, label, outside, need, behind), stored: the differences by which members of a centre may be paired.
 
-    Twice (100 + percent) times the number of these must reach the sum of the members' ``need``.
+    Two members must have enough differences from it in common: twice (100 + percent) times the number of these
+    must reach the sum of the members' ``need``.
     """
     unit = 2 * (100 + percent)
     need = 2 * percent * F.col("n") + unit * F.col("lacks") - (100 + percent) * F.col("n_centre")
-    found = stored(_differences(group, texts, size).withColumns({"need": need, "outside": F.col("label") != F.col("label_centre")}))
+    found = stored(_differences(group, texts, size).withColumns({"need": need, "outside": F.col("label") != F.col("label_centre"), "salt": F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")}))
     least = found.groupBy("centre").agg(F.min("need").alias("any"), F.min(F.when(F.col("outside"), F.col("need"))).alias("out"))
+    least = stored(least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # of two members one at least is outside the centre's component
     partner = F.col("need") + F.when(F.col("outside"), F.col("any")).otherwise(F.col("out"))
-    sized = found.join(least, "centre").withColumn("common", F.greatest(F.lit(1), F.ceil(partner / F.lit(unit) - F.lit(1e-9))))
+    sized = found.join(least, ["centre", "salt"]).withColumn("common", F.greatest(F.lit(1), F.ceil(partner / F.lit(unit) - F.lit(1e-9))))
     rows = sized.select(F.xxhash64("centre").alias("c"), "class", F.xxhash64("label").alias("label"), "outside", "need", "common", F.size("items").alias("size"), F.explode("items").alias("item"))
     times = rows.groupBy("c", "item").agg(F.count("*").alias("times"))
     rank = F.row_number().over(Window.partitionBy("c", "class").orderBy("times", "item"))
     ranked = rows.join(times, ["c", "item"]).withColumn("behind", F.col("size") - rank + 1).filter("times > 1 and behind >= common").select("c", "item", "class", "label", "outside", "need", "behind")
-    ranked = stored(ranked)
-    a, b = (ranked.select(*["c", "item"], *[F.col(x).alias(f"{x}_{k}") for x in ("class", "label", "outside", "need", "behind")]) for k in "ab")
-    enough = F.least("behind_a", "behind_b") * unit >= F.col("need_a") + F.col("need_b")
-    pairs = a.join(b, ["c", "item"]).filter((F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("outside_a") | F.col("outside_b")) & enough)
+    out = stored(ranked)
+    dropped(found)
+    return out
+
+
+def _mixed(ranked: DataFrame) -> DataFrame:
+    """Only differences that members of more than one component share."""
+    some = ranked.groupBy("c", "item").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("c", "item")
+    return ranked.join(some, ["c", "item"], "left_semi")
+
+
+def _enough(percent: int):
+    return F.least("behind_a", "behind_b") * F.lit(2 * (100 + percent)) >= F.col("need_a") + F.col("need_b")
+
+
+def _with_first(ranked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each row and the one of its difference that has the most behind it: as many as rows."""
+    row = lambda k: [F.col(x).alias(f"{x}_{k}") for x in ("class", "label", "outside", "need", "behind")]
+    first = ranked.groupBy("c", "item").agg(F.max(F.struct("behind", "class", "label", "outside", "need")).alias("f")).select("c", "item", "f.*")
+    pairs = ranked.select("c", "item", *row("a")).join(first.select("c", "item", *row("b")), ["c", "item"])
+    return pairs.filter((F.col("label_a") != F.col("label_b")) & (F.col("outside_a") | F.col("outside_b")) & _enough(percent)).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
+def _with_each(ranked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows that share a difference and aren't connected."""
+    a, b = (ranked.select("c", "item", *[F.col(x).alias(f"{x}_{k}") for x in ("class", "label", "outside", "need", "behind")]) for k in "ab")
+    pairs = a.join(b, ["c", "item"]).filter((F.col("class_a") < F.col("class_b")) & (F.col("label_a") != F.col("label_b")) & (F.col("outside_a") | F.col("outside_b")) & _enough(percent))
     return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
@@ -227,10 +272,22 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     beside = stored(beside.distinct())
     edges = _confirmed(_pairs(beside.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("n_centre").alias("n_b")), percent), texts, size, percent)
     roots = components(edges)
+    dropped(now)
     named = stored(_named(_named(beside, roots, "class", "label"), roots, "centre", "label_centre"))
+    dropped(beside)
     mixed = named.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("centre")
-    more = _confirmed(_by_differences(named.join(mixed, "centre", "left_semi"), texts, size, percent), texts, size, percent)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    ranked = _shared_differences(named.join(mixed, "centre", "left_semi"), texts, size, percent)
+    dropped(named)
+    joins = lambda links: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
+    # what the first pairs join needs no more pairs, so the second join has few rows for each difference
+    once = joins(_confirmed(_with_first(ranked, percent), texts, size, percent))
+    relabelled = ranked.join(once.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.xxhash64(F.coalesce("root", "class"))).drop("root")
+    left = stored(_mixed(relabelled))
+    dropped(ranked)
+    more = stored(_confirmed(_with_each(left, percent), texts, size, percent))
+    out = components(once.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    dropped(left, more, once, roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -246,7 +303,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     members = stored(rows.join(shared, "bucket"))
     wanted = stored(members.select("class").distinct().join(classes.select("class", "first"), "class"))
-    roots = _links(members, stored(_texts(docs, wanted, key, text, size)), size, percent)
+    texts = stored(_texts(docs, wanted, key, text, size))
+    roots = _links(members, texts, size, percent)
+    dropped(members, wanted, texts)
     named = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = named.join(names, "root").select("class", "component_id")
