@@ -1,37 +1,37 @@
 """Not-modified revisits of web archives, resolved to the full responses they stand for.
 
-A capture is (record_id long, url, time long, kind 'response' or 'revisit', headers map, digest, payload).
-Each revisit is joined, as of its time, to the latest strictly earlier response of the same canonical URL;
+A capture is (record_id long, url, time long, kind 'response' or 'revisit', headers map, digest, payload), and maybe code
+(int), the status of the answer. Full responses are those of code 200, or without one; other responses stand for nothing.
+Each revisit is joined, as of its time, to the latest strictly earlier full response of the same canonical URL;
 of responses at one time the largest record_id counts. Validators are then checked in this order: entity
 tags (weakly: without W/), dates of last modification, payload digests. The first kind that both
 records have decides; if they have none in common, the revisit stays unvalidated but resolved. A
 resolved revisit gets the payload, and the response's headers with those replaced that a not-modified
 answer may update.
 
-The as-of join groups by URL and slice of time, so that a URL with a third of all captures is spread
-over the slices; what is latest before a slice comes from one row for each URL and slice. Payloads
-join by record at the end, where adaptive execution splits a response with very many revisits.
+The as-of join sorts URLs and times by range, so that a URL with a third of all captures, crawled in one burst or over
+years, is spread over as many tasks as its rows fill; what is latest before a task's rows comes from one row for each
+URL and task. Payloads join by record at the end, where adaptive execution splits a response with very many revisits.
 
-Captures without URL or time resolve nothing and aren't resolved. Repeated rows each give a row; repeated
-response ids count once.
+Captures without URL or time resolve nothing and aren't resolved. Repeated rows each give a row; of responses
+that share a record_id the smallest row counts. Other columns of the captures are left out.
 """
 
 from __future__ import annotations
 
-import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import map_batches, stored, table, without
+from marlstone.llm.common import BATCH_BYTES, map_batches, stored, table, without
 
 #: Headers that a 304 response may update in a stored response, in lower case.
 UPDATED_HEADERS = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that don't change what a URL means.
 TRACKING = "utm_[a-z]+|gclid|fbclid|ref"
-SLICES = 64
 RECORD = "record_id long, url string, time long, kind string, headers map<string,string>, digest string, payload binary"
 
 
@@ -63,25 +63,24 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     status: resolved, changed (a validator differs) or orphan (no earlier response); the last two have no payload.
     validator: etag, last-modified, digest, none; null for orphans.
     """
-    known = captures.select("record_id", "url", "time", "kind", "headers", "digest", "payload").withColumn("canonical", canonical_url(F.col("url")))
-    span = known.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()
-    low, width = span.low or 0, max(1, ((span.high or 0) - (span.low or 0)) // SLICES + 1)
-    light = stored(known.filter("canonical is not null and time is not null").select("record_id", "canonical", "time", "kind").withColumn("slice", F.floor((F.col("time") - low) / width).cast("int")).distinct())
-    this = F.when(F.col("kind") == "response", F.struct("time", "record_id"))
-    # equal times come after revisits, as only earlier responses count
-    within = Window.partitionBy("canonical", "slice").orderBy("time", F.when(F.col("kind") == "response", 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = light.withColumn("near", F.last(this, ignorenulls=True).over(within)).filter("kind = 'revisit'").select("record_id", "canonical", "time", "slice", F.col("near.record_id").alias("near"))
-    last = light.filter("kind = 'response'").groupBy("canonical", "slice").agg(F.max(F.struct("time", "record_id")).alias("last"))
-    slices = light.filter("kind = 'revisit'").select("canonical", "slice").distinct().join(last, ["canonical", "slice"], "full")
+    full_ones = "kind = 'response'" + (" and coalesce(code, 200) = 200" if "code" in captures.columns else "")
+    known = captures.withColumn("kind", F.when(F.expr(full_ones), "response").when(F.col("kind") == "revisit", "revisit"))
+    known = known.select("record_id", "url", "time", "kind", "headers", "digest", "payload").withColumn("canonical", canonical_url(F.col("url")))
+    # what happens at one time is one row; equal URLs and times are in one slice
+    light = known.filter("canonical is not null and time is not null and kind is not null").groupBy("canonical", "time").agg(F.max(F.when(F.col("kind") == "response", F.col("record_id"))).alias("response"), F.max(F.col("kind") == "revisit").alias("asked"))
+    light = stored(light.repartitionByRange("canonical", "time").withColumn("slice", F.spark_partition_id()))
+    within = Window.partitionBy("canonical", "slice").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    near = light.withColumn("near", F.last("response", ignorenulls=True).over(within)).filter("asked").select("canonical", "time", "slice", "near")
+    last = light.groupBy("canonical", "slice").agg(F.max(F.when(F.col("response").isNotNull(), F.struct("time", "response"))).alias("last"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    far = slices.withColumn("far", F.last("last", ignorenulls=True).over(before)["record_id"]).select("canonical", "slice", "far")
-    chosen = near.join(far, ["canonical", "slice"], "left").select("record_id", "canonical", "time", F.coalesce("near", "far").alias("response_id")).distinct()
+    far = last.withColumn("far", F.last("last", ignorenulls=True).over(before)["response"]).select("canonical", "slice", "far")
+    chosen = near.join(far, ["canonical", "slice"], "left").select("canonical", "time", F.coalesce("near", "far").alias("response_id"))
 
-    full = known.filter("kind = 'response'").dropDuplicates(["record_id"])
-    response = full.select(F.col("record_id").alias("response_id"), F.struct(lower_keys(F.col("headers")).alias("headers"), "digest", "payload").alias("full"))
+    entries = F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>")))
+    full = known.filter("kind = 'response'").groupBy(F.col("record_id").alias("response_id")).agg(F.min(F.struct("time", "url", entries.alias("entries"), "digest", "payload")).alias("r"))
+    response = full.select("response_id", F.struct(lower_keys(F.map_from_entries("r.entries")).alias("headers"), F.col("r.digest").alias("digest"), F.col("r.payload").alias("payload")).alias("full"))
     revisits = known.filter("kind = 'revisit'").drop("payload")
-    keys = [revisits["record_id"].eqNullSafe(chosen["record_id"]), revisits["canonical"] == chosen["canonical"], revisits["time"] == chosen["time"]]
-    joined = revisits.join(chosen.select("record_id", "canonical", "time", "response_id"), keys, "left").select(*[revisits[c] for c in revisits.columns], "response_id").join(response, "response_id", "left")
+    joined = revisits.join(chosen, ["canonical", "time"], "left").join(response, "response_id", "left")
     fresh, old = lower_keys(F.col("headers")), F.col("full.headers")
     tag = lambda m: F.regexp_replace(m["etag"], r"^W/", "")
     same = [("etag", tag(fresh), tag(old)), ("last-modified", fresh["last-modified"], old["last-modified"]), ("digest", F.col("digest"), F.col("full.digest"))]
@@ -97,29 +96,90 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     )
 
 
+class _Unpacked:
+    """Bytes of an archive, plain or in gzip members, unpacked as they are asked for; a member that is cut or broken ends them."""
+
+    PIECE = 1 << 20
+
+    def __init__(self, content: bytes):
+        self.content, self.at, self.packed = memoryview(content), 0, content[:2] == b"\x1f\x8b"
+        self.member, self.held = None, b""
+
+    def _more(self) -> bytes:
+        if not self.packed or self.at >= len(self.content):
+            piece = b"" if self.packed else bytes(self.content[self.at : self.at + self.PIECE])
+            self.at += len(piece)
+            return piece
+        while self.at < len(self.content):
+            self.member = self.member or zlib.decompressobj(31)
+            piece = bytes(self.content[self.at : self.at + self.PIECE])
+            try:
+                out = self.member.decompress(piece)
+            except zlib.error:
+                self.at = len(self.content)
+                return b""
+            self.at += len(piece) - len(self.member.unused_data)
+            if self.member.eof:
+                self.member = None
+            if out:
+                return out
+        return b""
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before the next mark, which is passed over; None if there is none."""
+        looked = 0
+        while (end := self.held.find(mark, max(looked - len(mark), 0))) < 0:
+            looked = len(self.held)
+            more = self._more()
+            if not more:
+                return None
+            self.held += more
+        out, self.held = self.held[:end], self.held[end + len(mark) :]
+        return out
+
+    def take(self, size: int) -> bytes:
+        pieces, n = [self.held], len(self.held)
+        while n < size and (more := self._more()):
+            pieces.append(more)
+            n += len(more)
+        whole = b"".join(pieces)
+        self.held = whole[size:]
+        return whole[:size]
+
+    def skip(self, marks: bytes) -> None:
+        while True:
+            self.held = self.held.lstrip(marks)
+            if self.held:
+                return
+            self.held = self._more()
+            if not self.held:
+                return
+
+
 def parsed(content: bytes) -> Iterator[dict]:
     """Records of an archive file, plain or in gzip members; revisit and response records only.
 
-    A record that ends early, or doesn't begin like one, ends the file.
+    A record that ends early, doesn't begin like one or doesn't tell its size ends the file.
     """
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-    at = 0
-    while data.startswith(b"WARC/", at):
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0:
+    data = _Unpacked(content)
+    while True:
+        data.skip(b"\r\n")
+        found = data.until(b"\r\n\r\n")
+        if found is None or not found.startswith(b"WARC/"):
             return
-        head = _fields(data[at:head_end])
-        size = int(head.get("content-length", "0"))
-        block = data[head_end + 4 : head_end + 4 + size]
-        at = head_end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if len(block) < size or head.get("warc-type") not in ("response", "revisit"):
-            if len(block) < size:
-                return
+        head = _fields(found)
+        size = head.get("content-length", "")
+        if not (size.isascii() and size.isdigit()):
+            return
+        block = data.take(int(size))
+        if len(block) < int(size):
+            return
+        if head.get("warc-type") not in ("response", "revisit"):
             continue
         http, _, payload = block.partition(b"\r\n\r\n")
-        yield {"url": head.get("warc-target-uri"), "date": head.get("warc-date"), "kind": head["warc-type"], "headers": _fields(http), "digest": head.get("warc-payload-digest"), "payload": payload if head["warc-type"] == "response" else None}
+        status = http.split(b"\r\n", 1)[0].split()[1:2]
+        code = int(status[0]) if status and status[0].isdigit() and len(status[0]) == 3 else None
+        yield {"url": head.get("warc-target-uri"), "date": head.get("warc-date"), "kind": head["warc-type"], "code": code, "headers": _fields(http), "digest": head.get("warc-payload-digest"), "payload": payload if head["warc-type"] == "response" else None}
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -131,17 +191,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Captures of archive files; record_id is a hash of file and place, time in seconds. A file is read by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "place", "url", "date", "kind", "headers", "digest", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
+        names = ["file", "place", "url", "date", "kind", "code", "headers", "digest", "payload"]
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [(name, k, r["url"], r["date"], r["kind"], list(r["headers"].items()), r["digest"], r["payload"]) for k, r in enumerate(parsed(content))]
+                rows, held = [], 0
+                for k, r in enumerate(parsed(content)):
+                    rows.append((name, k, r["url"], r["date"], r["kind"], r["code"], list(r["headers"].items()), r["digest"], r["payload"]))
+                    held += len(r["payload"] or b"")
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = map_batches(files, "file string, place long, url string, date string, kind string, headers map<string,string>, digest string, payload binary", run)
-    return found.select(F.xxhash64("file", "place").alias("record_id"), "url", F.unix_timestamp(F.try_to_timestamp("date")).alias("time"), "kind", "headers", "digest", "payload")
+    found = map_batches(files, "file string, place long, url string, date string, kind string, code int, headers map<string,string>, digest string, payload binary", run)
+    return found.select(F.xxhash64("file", "place").alias("record_id"), "url", F.unix_timestamp(F.try_to_timestamp("date")).alias("time"), "kind", "code", "headers", "digest", "payload")
 
 
 def captures_of(pages: DataFrame) -> DataFrame:

@@ -53,6 +53,31 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_one_burst_and_stray_times(spark):
+    rng = random.Random(2)
+    rows = [(k, "http://hot/", 10**9 + rng.randrange(50), rng.choice(["response", "revisit"]), {}, None, b"x") for k in range(400)]
+    rows += [(1000, "http://hot/", -(10**12), "response", {}, None, b"first"), (1001, "http://hot/", 10**15, "revisit", {}, None, None), (1002, "http://hot/", 5, "revisit", {}, None, None)]
+    rows = [(*r[:6], r[6] if r[3] == "response" else None) for r in rows]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_only_full_responses_count(spark):
+    rows = [(1, "http://a/", 1, "response", {}, None, b"full", 200, "x"), (2, "http://a/", 2, "response", {}, None, b"no", 404, "x"), (3, "http://a/", 3, "response", {}, None, b"part", 206, "x"), (4, "http://a/", 4, "revisit", {}, None, None, 304, "x")]
+    found = warc.resolve_revisits(spark.createDataFrame(rows, f"{warc.RECORD}, code int, Status string"))
+    assert [(r.response_id, bytes(r.payload), r.status) for r in found.collect()] == [(1, b"full", "resolved")]
+    twice = spark.createDataFrame([(1, "http://a/", 1, "response", {"A": "b"}, None, b"2"), (1, "http://a/", 1, "response", {"A": "a"}, None, b"1"), (4, "http://a/", 4, "revisit", None, None, None)], warc.RECORD)
+    assert [(bytes(r.payload), r.headers) for r in warc.resolve_revisits(twice).collect()] == [(b"1", {"a": "a"})]
+
+
+def test_broken_and_long_files(monkeypatch):
+    full = record("response", "http://a/", "HTTP/1.1 200 OK", b"z" * 300_000)
+    packed = gzip.compress(full) + gzip.compress(full)
+    monkeypatch.setattr(warc._Unpacked, "PIECE", 1000)
+    assert [len(r["payload"]) for r in warc.parsed(packed)] == [300_000] * 2 and [r["code"] for r in warc.parsed(full)] == [200]
+    assert len(list(warc.parsed(packed[:-30]))) == 1 and len(list(warc.parsed(packed[: len(packed) // 2] + b"junk"))) == 1
+    assert list(warc.parsed(full.replace(b"Content-Length: ", b"Content-Length: x"))) == [] and list(warc.parsed(b"\x1f\x8bjunk")) == [] and list(warc.parsed(b"")) == []
+
+
 def test_edges(spark):
     assert run(spark, []) == []
     rows = [
