@@ -180,17 +180,16 @@ def _named(df: DataFrame, roots: DataFrame, of: str, label: str) -> DataFrame:
     return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(label)), of, "left").withColumn(label, F.coalesce(label, of))
 
 
-def _spread(group: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(group with a part for each row, (centre, part)): the rows of a centre in parts of about PER_PART.
+def _spread(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of centres with members that aren't connected, with a part for each row; (centre, part)): parts have about PER_PART rows.
 
-    Rows learn how many parts their centre has by one of SALTS copies of that number, so no centre's rows meet in one task.
+    named has a salt; rows learn about their centre from one of SALTS copies, so no centre's rows meet in one task.
     """
-    parts = group.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(PER_PART)).cast("int").alias("parts"))
-    parts = stored(parts)
-    copies = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = group.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(copies, ["centre", "salt"])
-    dealt = salted.withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts")).cast("int")).drop("salt", "parts")
-    return dealt, parts.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    known = named.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(PER_PART)).cast("int").alias("parts"), F.min("label").alias("low"), F.max("label").alias("high"))
+    mixed = stored(known.filter("low <> high").select("centre", "parts"))
+    copies = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = named.join(copies, ["centre", "salt"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts")).cast("int")).drop("salt", "parts")
+    return dealt, mixed.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
 
 def _differences(group: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -273,10 +272,12 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     edges = _confirmed(_pairs(beside.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("n_centre").alias("n_b")), percent), texts, size, percent)
     roots = components(edges)
     dropped(now)
-    named = stored(_named(_named(beside, roots, "class", "label"), roots, "centre", "label_centre"))
+    # a centre's component comes with the edges' few centres, so that their members aren't dealt by centre for it
+    of_centres = _named(beside.select("centre").distinct(), roots, "centre", "label_centre").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = _named(beside, roots, "class", "label").withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
+    named = stored(salted.join(of_centres, ["centre", "salt"]))
     dropped(beside)
-    mixed = named.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("centre")
-    ranked = _shared_differences(named.join(mixed, "centre", "left_semi"), texts, size, percent)
+    ranked = _shared_differences(named, texts, size, percent)
     dropped(named)
     joins = lambda links: components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     # what the first pairs join needs no more pairs, so the second join has few rows for each difference
