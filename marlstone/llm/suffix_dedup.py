@@ -1,10 +1,10 @@
 """Exact removal of repeated byte strings by distributed prefix doubling.
 
-A position's rank at offset h stands for the h bytes that begin there; that of twice the offset is
-the pair of ranks at the position and h bytes on. Spark sorts and counts the pairs, positions whose rank
-is unique drop out, the others are ranked again at a larger offset, until they are unique or the
-threshold is reached. Ranks are 64-bit fingerprints, so that they can be formed where the bytes are
-and equal strings have equal ranks in all tasks.
+A position's rank at offset h is the pair of its rank at half of that offset and of the rank half an offset
+on. Spark sorts and counts the pairs, positions whose pair is unique drop out, the others are ranked again at a
+larger offset, until they are unique or the threshold is reached. The ranks that make up a pair are 64-bit
+fingerprints of the bytes, formed where the bytes are, as numbers counted in an earlier round would have to be
+joined to every position of the corpus; so equal strings have equal pairs in all tasks, and pairs have 128 bits.
 
 Billions of positions would make as many rows, so the rounds below the threshold rank samples that
 stand for all: of the strings of h bytes inside a string of ``length`` bytes, the one of the least
@@ -36,8 +36,10 @@ LENGTH = 200
 PARTS = (0.25, 0.5, 0.75, 0.875)
 #: What is known of a stretch: nothing yet; all its strings are repeated; it only repeats strings that came before it in the same stretch.
 OPEN, SETTLED, AGAIN = 0, 1, 2
-PLACE = "_k long, _t int, base int"
-STRETCHES = f"{PLACE}, rank long, whole long, start int, n int, state int"
+PLACE = "_k long, _t long, base int"
+STRETCHES = f"{PLACE}, near long, far long, whole long, start int, n int, state int"
+#: The two halves of a rank.
+PAIR = ["near", "far"]
 
 
 def offsets_of(length: int) -> list[int]:
@@ -45,13 +47,13 @@ def offsets_of(length: int) -> list[int]:
     return sorted({h for s in PARTS if 8 <= (h := int(length * s)) < length}) or [max(1, length // 2)]
 
 
-def pair_ranks(rolling: Rolling, h: int) -> np.ndarray:
-    """Rank of every position at offset h, from those at half of it and half of it further on."""
+def halves(rolling: Rolling, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pair of every position at offset h: its rank at half of it, and the rank half of it further on."""
     half = max(h // 2, 1)
     if h == 1:
-        return rolling.every(1)
-    near, far = rolling.every(half), rolling.every(h - half)
-    return mix(near[: max(len(far) - half, 0)] * BASE + far[half:])
+        return rolling.every(1), np.zeros(max(len(rolling.sums) - 1, 0), U64)
+    near, far = rolling.every(half), rolling.every(h - half)[half:]
+    return near[: len(far)], far
 
 
 def anchors(ranks: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
@@ -63,25 +65,27 @@ def anchors(ranks: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
 def stretches(data: np.ndarray, low: np.ndarray, high: np.ndarray, h: int, length: int, own: bool) -> tuple[np.ndarray, ...]:
     """Runs of strings with one anchor, among the strings of length bytes that start in the intervals [low, high).
 
-    (rank, whole, interval, start, n, state) of each. own: look for strings that a stretch repeats itself; their
+    (near, far, whole, interval, start, n, state) of each. own: look for strings that a stretch repeats itself; their
     first occurrences are stretches apart, settled ones, and the others need no rank.
     """
-    nothing = tuple(np.zeros(0, np.int64) for _ in range(6))
+    nothing = tuple(np.zeros(0, np.int64) for _ in range(7))
     run, place = spread(high - low)
     at = low[run] + place
     if not len(at):
         return nothing
     rolling = Rolling(data)
-    ranks = pair_ranks(rolling, h)
+    near, far = halves(rolling, h)
+    # one number for each pair, by which the least of a window is chosen
+    ranks = mix(near * BASE + far)
     least = sliding_min(ranks, length - h + 1)
     value = least[at]
     new = np.ones(len(at), bool)
     new[1:] = (value[1:] != value[:-1]) | (run[1:] != run[:-1])
     state = np.zeros(len(at), np.int8)
+    some = anchors(ranks, least, length - h + 1)
     if own:
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(at)))
-        some = anchors(ranks, least, length - h + 1)
         lo, hi = np.searchsorted(some, at[first]), np.searchsorted(some, at[first] + n + length - h)
         of, k = spread(hi - lo)
         twice = np.bincount(of[ranks[some[lo[of] + k]] == value[first][of]], minlength=len(first)) > 1
@@ -99,23 +103,28 @@ def stretches(data: np.ndarray, low: np.ndarray, high: np.ndarray, h: int, lengt
     n = np.diff(np.append(first, len(at)))
     start = at[first]
     whole = mix(rolling.at(start, start + n + length - 1) + n.astype(U64))
-    return value[first].view(np.int64), whole.view(np.int64), run[first], start, n, state[first]
+    # the pair of each stretch's anchor, which its first string holds
+    lo, hi = np.searchsorted(some, start), np.searchsorted(some, start + length - h + 1)
+    of, k = spread(hi - lo)
+    hit = np.flatnonzero(ranks[some[lo[of] + k]] == value[first][of])
+    anchor = some[lo + k[hit[np.unique(of[hit], return_index=True)[1]]]]
+    return near[anchor].view(np.int64), far[anchor].view(np.int64), whole.view(np.int64), run[first], start, n, state[first]
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """docs with (_k, _t), which tell rows apart unless they are equal in key and text."""
     plain = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "_t": F.hash(plain), "_bytes": plain.cast("binary")})
+    return docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "_t": F.xxhash64(plain), "_bytes": plain.cast("binary")})
 
 
 def _first_round(docs: DataFrame, h: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "_bytes"):
             data, offsets = text_bytes(batch.column("_bytes"))
-            rank, whole, doc, start, n, state = stretches(data, offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - length + 1), h, length, own=True)
+            near, far, whole, doc, start, n, state = stretches(data, offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - length + 1), h, length, own=True)
             local = pa.array(start - offsets[:-1][doc], pa.int32())
             of = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column("_k").take(of), batch.column("_t").take(of), local, pa.array(rank), pa.array(whole), local, pa.array(n, pa.int32()), pa.array(state, pa.int32())], [f.split()[0] for f in STRETCHES.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("_k").take(of), batch.column("_t").take(of), local, pa.array(near), pa.array(far), pa.array(whole), local, pa.array(n, pa.int32()), pa.array(state, pa.int32())], [f.split()[0] for f in STRETCHES.split(", ")])
 
     return map_batches(docs.select("_k", "_t", "_bytes"), STRETCHES, run)
 
@@ -135,24 +144,24 @@ def _next_round(segments: DataFrame, active: DataFrame | None, h: int, length: i
             start, n, state = (spans.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "state"))
             base = batch.column("base").to_numpy().astype(np.int64)
             low = offsets[:-1][of] + start - base[of]
-            rank, whole, interval, at, n, _ = stretches(data, low, low + n, h, length, own=False)
+            near, far, whole, interval, at, n, _ = stretches(data, low, low + n, h, length, own=False)
             row = of[interval]
             place = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(place) for c in ("_k", "_t", "base")), pa.array(rank), pa.array(whole), pa.array(at - offsets[:-1][row] + base[row], pa.int32()), pa.array(n, pa.int32()), pa.array(state[interval], pa.int32())], [f.split()[0] for f in STRETCHES.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(place) for c in ("_k", "_t", "base")), pa.array(near), pa.array(far), pa.array(whole), pa.array(at - offsets[:-1][row] + base[row], pa.int32()), pa.array(n, pa.int32()), pa.array(state[interval], pa.int32())], [f.split()[0] for f in STRETCHES.split(", ")])
 
     return map_batches(rows.select("_k", "_t", "base", "_bytes", "spans"), STRETCHES, run)
 
 
 def _ranked(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans found to be repeated, distinct stretches that go on) of a round's stored stretches, which are deleted."""
-    ranks = found.filter(F.col("state") != AGAIN).groupBy("rank").agg(F.count("*").alias("times")).filter("times > 1")
-    again = stored(found.filter(F.col("state") != AGAIN).join(ranks, "rank").drop("times"))
-    wholes = again.groupBy("rank", "whole").agg(F.count("*").alias("times"), F.max("state").alias("state"), F.min(F.struct("_k", "_t", "base", "start", "n")).alias("one"))
+    ranks = found.filter(F.col("state") != AGAIN).groupBy(PAIR).agg(F.count("*").alias("times")).filter("times > 1")
+    again = stored(found.filter(F.col("state") != AGAIN).join(ranks, PAIR).drop("times"))
+    wholes = again.groupBy(*PAIR, "whole").agg(F.count("*").alias("times"), F.max("state").alias("state"), F.min(F.struct("_k", "_t", "base", "start", "n")).alias("one"))
     wholes = stored(wholes.withColumn("state", F.when(F.col("times") > 1, SETTLED).otherwise(F.col("state"))))
-    settled = again.filter(F.col("state") == OPEN).join(wholes.filter("times > 1").select("rank", "whole"), ["rank", "whole"]).select("_k", "_t", "start", "n")
+    settled = again.filter(F.col("state") == OPEN).join(wholes.filter("times > 1").select(*PAIR, "whole"), [*PAIR, "whole"]).select("_k", "_t", "start", "n")
     spans = stored(settled)
-    mixed = wholes.groupBy("rank").agg(F.count("*").alias("kinds"), F.min("state").alias("least")).filter((F.col("kinds") > 1) & (F.col("least") == OPEN)).select("rank")
-    onwards = stored(wholes.join(mixed, "rank", "left_semi").select("one.*", "state"))
+    mixed = wholes.groupBy(PAIR).agg(F.count("*").alias("kinds"), F.min("state").alias("least")).filter((F.col("kinds") > 1) & (F.col("least") == OPEN)).select(PAIR)
+    onwards = stored(wholes.join(mixed, PAIR, "left_semi").select("one.*", "state"))
     dropped(found, again, wholes)
     return spans, onwards
 
@@ -173,8 +182,8 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         more, active = _ranked(stored(_next_round(segments, active, h, length)))
         spans = spans.unionByName(more)
     last = stored(_next_round(segments, active, length, length).drop("whole", "base"))
-    ranks = last.groupBy("rank").agg(F.count("*").alias("times")).filter("times > 1").select("rank")
-    more = stored(last.filter(F.col("state") == OPEN).join(ranks, "rank").select("_k", "_t", "start", "n"))
+    ranks = last.groupBy(PAIR).agg(F.count("*").alias("times")).filter("times > 1").select(PAIR)
+    more = stored(last.filter(F.col("state") == OPEN).join(ranks, PAIR).select("_k", "_t", "start", "n"))
     dropped(last, segments)
     return spans.unionByName(more)
 
