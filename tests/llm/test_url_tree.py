@@ -41,6 +41,36 @@ def test_rejected_templates_reach_unlisted_pages(spark):
     assert [got[k].rule for k in (40, 41, 42)] == [None] * 3 and {got[k].verdict for k in (40, 41, 42)} == {"block"}
 
 
+def test_paths_of_any_depth_are_told_apart(spark):
+    deep = "a/b/c/d/e/f/g"
+    urls = [f"http://x.org/{deep}/good/{k}" for k in range(30)] + [f"http://x.org/{deep}/bad/{k}" for k in range(30)] + ["http://x.org/" + "q/" * 3000]
+    labels = spark.createDataFrame([(u, "block" if "bad" in u else "allow") for u in urls[:60]], "url string, label string")
+    got = {r.url: r for r in url_tree.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules=(), labels=labels).collect()}
+    assert [got[u].verdict for u in urls] == ["allow"] * 30 + ["block"] * 30 + ["allow"]
+    assert got[urls[0]].template == f"/{deep}/good/#" and got[urls[-1]].template == "/" + "/".join("q" * 3000)
+
+
+def test_siblings_alike_merge_with_each_other(spark):
+    """Two sorts of folders, both far from what they share on average."""
+    urls = [f"http://x.org/{f}{g}/{k}" for f in ("bad", "good") for g in "abc" for k in range(40)]
+    labels = spark.createDataFrame([(u, "block" if "bad" in u else "allow") for u in urls], "url string, label string")
+    got = {r.url: r for r in url_tree.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules=(), labels=labels).collect()}
+    assert {got[u].template for u in urls if "bad" in u} in ({"/~1/#"}, {"/~1/*"}) and {got[u].template for u in urls if "good" in u} in ({"/~0/#"}, {"/~0/*"})
+
+
+def test_hosts_without_labels_learn_from_others(spark):
+    urls = [f"http://{h}.org/{f}/{k}" for h in "abcdef" for f in ("casino", "news") for k in range(20)]
+    labels = spark.createDataFrame([(u, "block" if "casino" in u else "allow") for u in urls if "//f." not in u], "url string, label string")
+    judged = url_tree.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules=(), labels=labels)
+    assert all(r.verdict == ("block" if "casino" in r.url else "allow") for r in judged.collect())
+
+
+def test_the_tree_decides_on_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    row = url_tree.unlisted_blocked(url_tree.judge(pages)).first()
+    assert row.pages == pages.count() and 0 < row.blocked < row.unlisted
+
+
 def test_edges(spark):
     rows = spark.createDataFrame([(1, "http://a.org/fr/", "x", 0), (1, "http://a.org/fr/", "x", 0)], "page_id int, url string, Host string, verdict int")
     assert url_tree.judge(rows).count() == 2 and url_tree.judge(rows.limit(0)).count() == 0
