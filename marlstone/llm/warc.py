@@ -74,13 +74,17 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     last = light.groupBy("canonical", "slice").agg(F.max(F.when(F.col("response").isNotNull(), F.struct("time", "response"))).alias("last"))
     before = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     far = last.withColumn("far", F.last("last", ignorenulls=True).over(before)["response"]).select("canonical", "slice", "far")
-    chosen = near.join(far, ["canonical", "slice"], "left").select("canonical", "time", F.coalesce("near", "far").alias("response_id"))
+    chosen = near.join(far, ["canonical", "slice"], "left").select("canonical", "time", F.coalesce("near", "far").alias("response_id"), F.when(F.col("near").isNull(), F.col("slice") + 1).otherwise(0).cast("long").alias("copy"))
+    # a response before its own slice is copied for each later one; only the first URL of a slice goes on from an earlier one, so there is one copy for each slice at most
+    copies = chosen.filter("copy > 0 and response_id is not null").groupBy("response_id").agg(F.collect_set("copy").alias("copies"))
 
     entries = F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>")))
-    full = known.filter("kind = 'response'").groupBy(F.col("record_id").alias("response_id")).agg(F.min(F.struct("time", "url", entries.alias("entries"), "digest", "payload")).alias("r"))
-    response = full.select("response_id", F.struct(lower_keys(F.map_from_entries("r.entries")).alias("headers"), F.col("r.digest").alias("digest"), F.col("r.payload").alias("payload")).alias("full"))
+    full = known.filter("kind = 'response'").withColumnRenamed("record_id", "response_id").join(F.broadcast(copies), "response_id", "left")
+    full = full.withColumn("copy", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.coalesce("copies", F.array().cast("array<bigint>"))))).groupBy("response_id", "copy").agg(F.min(F.struct("time", "url", entries.alias("entries"), "digest", "payload")).alias("r"))
+    response = full.select("response_id", "copy", F.struct(lower_keys(F.map_from_entries("r.entries")).alias("headers"), F.col("r.digest").alias("digest"), F.col("r.payload").alias("payload")).alias("full"))
     revisits = known.filter("kind = 'revisit'").drop("payload")
-    joined = revisits.join(chosen, ["canonical", "time"], "left").join(response, "response_id", "left")
+    asking = revisits.join(chosen, ["canonical", "time"], "left").withColumn("copy", F.when(F.col("response_id").isNull(), F.xxhash64("record_id")).otherwise(F.col("copy")))
+    joined = asking.join(response, ["response_id", "copy"], "left")
     fresh, old = lower_keys(F.col("headers")), F.col("full.headers")
     tag = lambda m: F.regexp_replace(m["etag"], r"^W/", "")
     same = [("etag", tag(fresh), tag(old)), ("last-modified", fresh["last-modified"], old["last-modified"]), ("digest", F.col("digest"), F.col("full.digest"))]
