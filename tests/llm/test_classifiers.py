@@ -106,3 +106,11 @@ def test_queries(spark):
         p = module.query(spark, SF).toPandas()
         assert len(p) == n and p["score"].between(0, 1).all()
         assert (p["predicted"] == (p["score"] >= (0.5 if module is op4 else 0.3))).all()
+
+
+@pytest.mark.parametrize(("module", "label"), [(op4, "toxic"), (op6, "quality")])
+def test_held_out_accuracy_on_the_given_labels(spark, module, label):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    p = module.query(spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("held_out").toPandas()
+    assert len(p) > 200 and area(p["score"].to_numpy(), p[label].to_numpy()) > 0.95
+    assert (p["predicted"] == p[label]).mean() > 0.95
