@@ -11,5 +11,5 @@ from marlstone.llm.labelled import held_out
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.classify(docs, table(spark, sf_dir, "labels"), dropping=("text",))
     return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "score", "predicted", "flagged")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import add_columns, kept_in_worker, map_batches
+from marlstone.llm.common import add_columns, kept_in_worker, map_batches, stored, without
 from marlstone.llm.kernels import WORD_BYTES, U64, Rolling, lower_table, mix, text_bytes, word_spans
 from marlstone.llm.labelled import training_sample, usable_labels
 
@@ -260,11 +260,18 @@ def scored(docs: DataFrame, model: bytes, text: str = "text", score: str = "scor
     return add_columns(docs, [T.StructField(score, T.DoubleType())], compute, (text,))
 
 
-def classify(docs: DataFrame, labels: DataFrame, lang: str = "lang", **parameters) -> DataFrame:
-    """docs with score, predicted (1 from 0.5 on), and flagged: whether the score reaches the threshold of the text's language."""
+def classify(docs: DataFrame, labels: DataFrame, lang: str = "lang", dropping: tuple[str, ...] = (), **parameters) -> DataFrame:
+    """docs with score, predicted (1 from 0.5 on), and flagged: whether the score reaches the threshold of the text's language.
+
+    Scores are stored with the other columns, without those to drop, as both thresholds and result read them;
+    so texts are scored once.
+    """
     model, trained = fitted(docs, labels, **parameters)
-    out = scored(docs, model)
-    cuts = thresholds(out, labels, trained, parameters.get("label", "toxic"), lang) if trained else {"": 0.5}
+    out = without(scored(docs, model), *dropping)
+    cuts = {"": 0.5}
+    if trained:
+        out = stored(out)
+        cuts = thresholds(out, labels, trained, parameters.get("label", "toxic"), lang)
     cut = F.lit(cuts[""])
     for code, value in cuts.items():
         if code and lang in docs.columns:
