@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.common import dropped, map_batches, stored
+from marlstone.llm.common import configured, dropped, map_batches, stored
 from marlstone.llm.common import parts as parts_of
 from marlstone.llm.components import components
 from marlstone.llm.kernels import MIX_1, NOT_SPACE, U64, combine, hashed_words, list_array, mix, text_bytes
@@ -45,6 +45,8 @@ BANDS = SLOTS // ROWS
 HELD = 1 << 16
 #: Rows of a centre that meet in one task with its text, about; and copies of what is known of a centre.
 PER_PART, SALTS = 256, 32
+#: Bytes of a table that may be broadcast: Spark judges by files, and digests take ten times as much in the driver's memory.
+BROADCAST = 1 << 20
 FRACTION = U64(56)
 
 
@@ -180,6 +182,11 @@ def _named(df: DataFrame, roots: DataFrame, of: str, label: str) -> DataFrame:
     return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(label)), of, "left").withColumn(label, F.coalesce(label, of))
 
 
+def _copies(of_centres: DataFrame) -> DataFrame:
+    """SALTS copies of each row. Spark counts what comes out of an explosion as what went in, so it must not choose to broadcast them."""
+    return of_centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+
+
 def _spread(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of centres with members that aren't connected, with a part for each row; (centre, part)): parts have about PER_PART rows.
 
@@ -187,8 +194,7 @@ def _spread(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     known = named.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(PER_PART)).cast("int").alias("parts"), F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = stored(known.filter("low <> high").select("centre", "parts"))
-    copies = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = named.join(copies, ["centre", "salt"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts")).cast("int")).drop("salt", "parts")
+    dealt = named.join(_copies(mixed), ["centre", "salt"]).withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("parts")).cast("int")).drop("salt", "parts")
     return dealt, mixed.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
 
@@ -223,7 +229,7 @@ def _shared_differences(group: DataFrame, texts: DataFrame, size: int, percent:
     need = 2 * percent * F.col("n") + unit * F.col("lacks") - (100 + percent) * F.col("n_centre")
     found = stored(_differences(group, texts, size).withColumns({"need": need, "outside": F.col("label") != F.col("label_centre"), "salt": F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")}))
     least = found.groupBy("centre").agg(F.min("need").alias("any"), F.min(F.when(F.col("outside"), F.col("need"))).alias("out"))
-    least = stored(least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    least = _copies(stored(least))
     # of two members one at least is outside the centre's component
     partner = F.col("need") + F.when(F.col("outside"), F.col("any")).otherwise(F.col("out"))
     sized = found.join(least, ["centre", "salt"]).withColumn("common", F.greatest(F.lit(1), F.ceil(partner / F.lit(unit) - F.lit(1e-9))))
@@ -273,7 +279,7 @@ def _links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     roots = components(edges)
     dropped(now)
     # a centre's component comes with the edges' few centres, so that their members aren't dealt by centre for it
-    of_centres = _named(beside.select("centre").distinct(), roots, "centre", "label_centre").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_centres = _copies(_named(beside.select("centre").distinct(), roots, "centre", "label_centre"))
     salted = _named(beside, roots, "class", "label").withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
     named = stored(salted.join(of_centres, ["centre", "salt"]))
     dropped(beside)
@@ -302,12 +308,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     classes = stored(classes)
     rows = classes.select("class", "n", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = stored(rows.join(shared, "bucket"))
-    wanted = stored(members.select("class").distinct().join(classes.select("class", "first"), "class"))
-    texts = stored(_texts(docs, wanted, key, text, size))
-    roots = _links(members, texts, size, percent)
+    most = docs.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    with configured(docs.sparkSession, spark__sql__autoBroadcastJoinThreshold=str(min(most, BROADCAST))):
+        members = stored(rows.join(shared, "bucket"))
+        wanted = stored(members.select("class").distinct().join(classes.select("class", "first"), "class"))
+        texts = stored(_texts(docs, wanted, key, text, size))
+        roots = _links(members, texts, size, percent)
     dropped(members, wanted, texts)
-    named = classes.select("class", "first").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    # the result is planned when it is read, by the session's own settings
+    named = classes.select("class", "first").join(roots.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = named.join(names, "root").select("class", "component_id")
     out = sketch.drop("bands").join(of_class, "class", "left")

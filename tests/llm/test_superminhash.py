@@ -157,3 +157,18 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op8.query(spark, sf).collect()), key=str) == brute(rows, 4)
+
+
+def test_copies_of_what_is_known_of_centres_are_never_broadcast(spark):
+    rows = [(f"{k:016d}".encode(), f"{k % 7:016d}".encode(), k % 5, k % smh.SALTS) for k in range(200)]
+    named = spark.createDataFrame(rows, "class binary, centre binary, label int, salt int")
+    dealt, parts = smh._spread(named)
+    assert "Broadcast" not in dealt._jdf.queryExecution().sparkPlan().toString()
+    assert dealt.count() == 200 and parts.count() == 7
+
+
+def test_the_session_keeps_its_broadcast_threshold(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    run(spark, [(1, "a b c d e"), (2, "a b c d e f")])
+    assert spark.conf.get(key) == before
