@@ -246,8 +246,11 @@ def resolution_map(units: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def resolved_calls(calls: DataFrame, names: DataFrame) -> DataFrame:
-    """calls (path, raw, …) with resolved_unit_id: the whole name, else its head with the rest, else its last part."""
-    table = lambda c: names.select("path", F.col("name").alias(c), F.col("target").alias(f"_{c}"))
+    """calls (path, raw, …) with resolved_unit_id: the whole name, else its head with the rest, else its last part.
+
+    Names grow with the files; Spark takes them for far smaller where they come out of lists, so it must not choose to broadcast them.
+    """
+    table = lambda c: names.select("path", F.col("name").alias(c), F.col("target").alias(f"_{c}")).hint("merge")
     keyed = calls.withColumns({"exact": F.col("raw"), "head": F.when(F.col("raw").contains("."), F.substring_index("raw", ".", 1)), "last": F.when(F.col("raw").contains("."), F.substring_index("raw", ".", -1))})
     for c in ("exact", "head", "last"):
         keyed = keyed.join(table(c), ["path", c], "left")
