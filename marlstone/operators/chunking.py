@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -19,30 +21,59 @@ from marlstone.functions.text import normalized, terms
 
 PARAGRAPH_END, SENTENCE_END = re.compile(r"\n[ \t\n\x0b\f\r]*\n"), re.compile(r"(?<=[.!?])\s+")
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
+#: Bytes of an Arrow batch, about, to and from Python; one longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
-def per_text(df: DataFrame, text: str, schema: str, rows: Callable[[str], Iterator[tuple]]) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, as rows of text differ in length by orders of magnitude."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(2**31 - 1)).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def _row_bytes(columns: list[pa.Array], n: int) -> list[int]:
+    """Bytes of each row, about: of texts their own, of other columns their mean."""
+    total = np.zeros(n, np.int64)
+    for c in columns:
+        texts = pa.types.is_string(c.type) or pa.types.is_binary(c.type)
+        total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) if texts else c.nbytes // max(n, 1)
+    return total.tolist()
+
+
+def per_text(df: DataFrame, text: str, schema: str, rows: Callable[[str], Iterator[tuple]], keep_text: bool = True) -> DataFrame:
     """The columns of df with those of schema, for each row that ``rows`` makes of a text; null texts make none.
 
-    Columns of df with the names of new ones give way. Folds over the lines of a text are linear here, while as
+    Columns of df with the names of new ones give way, and the text itself without ``keep_text``: else each row
+    has the whole text once more, so batches of what is made are cut by bytes. Folds over the lines of a text are linear here, while as
     expressions they copy what they have so far at each step.
     """
     new = T._parse_datatype_string(schema)
     made_names = {f.name.lower() for f in new.fields}
-    kept = [f for f in df.schema.fields if f.name.lower() not in made_names]
+    kept = [f for f in df.schema.fields if f.name.lower() not in made_names and (keep_text or f.name != text)]
     types = to_arrow_schema(new)
 
+    def piece(olds: list[pa.Array], at: list[int], made: list[tuple]) -> pa.RecordBatch:
+        of = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([*(c.take(of) for c in olds), *(pa.array(c, types.field(i).type) for i, c in enumerate(zip(*made, strict=True)))], [*(f.name for f in kept), *types.names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, made = [], []
-            for k, said in enumerate(batch.column(text).to_pylist()):
-                for row in rows(said) if said is not None else ():
+            olds = [batch.column(f.name) for f in kept]
+            old_bytes = _row_bytes(olds, len(batch))
+            at, made, held = [], [], 0
+            for k, said in enumerate(batch.column(text)):
+                for row in rows(said.as_py()) if said.is_valid else ():
+                    size = old_bytes[k] + sum(len(v) for v in row if isinstance(v, str)) + 8 * len(row)
+                    if made and held + size > BATCH_BYTES:
+                        yield piece(olds, at, made)
+                        at, made, held = [], [], 0
                     at.append(k)
                     made.append(row)
-            of = pa.array(at, pa.int64())
-            columns = list(zip(*made, strict=True)) if made else [[] for _ in types.names]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name).take(of) for f in kept), *(pa.array(c, types.field(i).type) for i, c in enumerate(columns))], [*(f.name for f in kept), *types.names])
+                    held += size
+            if made:
+                yield piece(olds, at, made)
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
 
 
@@ -105,7 +136,7 @@ def legacy_chunks(df: DataFrame, text: str = "text", most: int = 2000) -> DataFr
     return per_text(df, text, "ordinal int, content string", rows)
 
 
-def section_chunks(df: DataFrame, text: str = "text") -> DataFrame:
+def section_chunks(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Sections that begin at # headings, with the path of headings above them and 1-based lines."""
 
     def rows(said: str) -> Iterator[tuple]:
@@ -126,7 +157,7 @@ def section_chunks(df: DataFrame, text: str = "text") -> DataFrame:
             if body:
                 yield k, "text/section", f"{body}\n", path, first, last
 
-    return per_text(df, text, "ordinal int, chunk_type string, content string, section_path array<string>, start_line int, end_line int", rows)
+    return per_text(df, text, "ordinal int, chunk_type string, content string, section_path array<string>, start_line int, end_line int", rows, keep_text)
 
 
 def blank_line_paragraphs(df: DataFrame, text: str = "text") -> DataFrame:

@@ -118,7 +118,7 @@ b as (select doc_id, sec, min(i) first, max(i) last, {strip("string_agg(line, ch
 p as (select b.doc_id, b.sec, list(a.title order by a.i) path from b join h a on a.doc_id = b.doc_id and a.lv > 0 and a.i <= b.first where not exists (select 1 from h n where n.doc_id = b.doc_id and n.lv > 0 and n.i > a.i and n.i <= b.first and n.lv <= a.lv) group by all)
 select b.doc_id, cast(b.sec - 1 as int) ordinal, 'text/section' chunk_type, body as content, coalesce(array_to_string(path, ' > '), '') section_path, cast(first as int) start_line, cast(last as int) end_line from b left join p on p.doc_id = b.doc_id and p.sec = b.sec where body <> chr(10)""")
 def chunk_sections(spark, sf):
-    return chunking.section_chunks(corpus.headed(spark, sf)).drop("text").withColumn("section_path", F.array_join("section_path", " > "))
+    return chunking.section_chunks(corpus.headed(spark, sf), keep_text=False).withColumn("section_path", F.array_join("section_path", " > "))
 
 
 @query(f"""with l as (select doc_id, unnest(range(0, len(q))) i, unnest(q) line from (select doc_id, string_split(text, chr(10)) q from {DOUBLE_LINES})),
