@@ -160,7 +160,7 @@ def section_chunks(df: DataFrame, text: str = "text", keep_text: bool = True) ->
     return per_text(df, text, "ordinal int, chunk_type string, content string, section_path array<string>, start_line int, end_line int", rows, keep_text)
 
 
-def blank_line_paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
+def blank_line_paragraphs(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Groups of lines between blank ones, with the 0-based line at which they start."""
 
     def rows(said: str) -> Iterator[tuple]:
@@ -173,7 +173,7 @@ def blank_line_paragraphs(df: DataFrame, text: str = "text") -> DataFrame:
                 yield k, start, "\n".join(held)
                 k, held = k + 1, []
 
-    return per_text(df, text, "ordinal int, start_line int, content string", rows)
+    return per_text(df, text, "ordinal int, start_line int, content string", rows, keep_text)
 
 
 def strided_terms(df: DataFrame, text: str = "text", window: int = 512, stride: int = 256) -> DataFrame:

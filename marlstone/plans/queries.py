@@ -125,7 +125,7 @@ def chunk_sections(spark, sf):
 g as (select *, sum(case when {strip('line')} = '' then 1 else 0 end) over (partition by doc_id order by i) g from l)
 select doc_id, cast(row_number() over (partition by doc_id order by min(i)) - 1 as int) ordinal, cast(min(i) as int) start_line, string_agg(line, chr(10) order by i) as content from g where {strip('line')} <> '' group by doc_id, g""")
 def paragraphs_by_blank_lines(spark, sf):
-    return chunking.blank_line_paragraphs(corpus.paragraphs(spark, sf)).drop("text")
+    return chunking.blank_line_paragraphs(corpus.paragraphs(spark, sf), keep_text=False)
 
 
 @query(f"select doc_id, cast(o as int) ordinal, array_to_string(t[o * 256 + 1 : o * 256 + 512], ' ') as content from (select doc_id, t, unnest(range(0, case when len(t) <= 512 then 1 else cast(ceil((len(t) - 512 + 256) / 256.0) as bigint) end)) o from (select doc_id, {TERMS} t from documents) where len(t) > 0)")
