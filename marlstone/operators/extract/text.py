@@ -28,7 +28,7 @@ def _lines(text: Column | str) -> Column:
     return F.split(plain, "\n")
 
 
-def references(df: DataFrame, text: str = "text") -> DataFrame:
+def references(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
     """(…, reference_index, reference): entries between a references or bibliography line and the next heading.
 
     An entry begins at a bullet or number if one is open, else at any line; other lines go on with it.
@@ -50,7 +50,7 @@ def references(df: DataFrame, text: str = "text") -> DataFrame:
         if entry:
             yield k + 1, "\n".join(entry).strip() + "\n"
 
-    return per_text(df, text, "reference_index int, reference string", rows)
+    return per_text(df, text, "reference_index int, reference string", rows, keep_text)
 
 
 def _count(line: Column, mark: str) -> Column:

@@ -710,7 +710,7 @@ def references(spark, sf):
     lines = F.filter(F.transform(F.split("text", "\n"), x.strip), lambda q: q != "")
     bullets = F.array_join(F.transform(lines, lambda q, i: F.concat(F.lit("- ["), (i + 1).cast("string"), F.lit("] "), q)), "\n")
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("# Paper\n\n## References\n\n"), bullets).alias("text"))
-    return plain.references(docs).drop("text")
+    return plain.references(docs, keep_text=False)
 
 
 @query("select p_partkey, 'f' || p_partkey symbol_name, 'function' symbol_kind, 2 start_line, 4 end_line, 'function f' || p_partkey || '(a) {' || chr(10) || '  if (a) { b(); }' || chr(10) || '}' || chr(10) as content from part union all select p_partkey, 'K', 'class', 5, 5, 'export class K {}' || chr(10) from part")

@@ -28,7 +28,7 @@ def batches(spark, f, texts, **parameters):
     return got
 
 
-MANY = {"section_chunks": "# head\nline of a section\n", "blank_line_paragraphs": "a paragraph\n\n"}
+MANY = {"section_chunks": "# head\nline of a section\n", "blank_line_paragraphs": "a paragraph\n\n", "references": "References\n- an entry\n"}
 
 
 @pytest.mark.parametrize("name", MANY)
