@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,13 +227,14 @@ def whole_runs(data: np.ndarray, start: np.ndarray, n: np.ndarray, matches: list
 def seeds_and_sides(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Of each text that has any: (_k, _t, _seeds: start, n) and (_k, _t, _sides: a, b, right, near), both stored."""
     known = bitmap(digests(docs, text).groupBy("digest").count().filter("count > 1").select("digest"))
-    found = stored(chunks(docs, text, known))
+    # kept on the executors' disks until the seeds are stored; what an executor loses is cut again
+    found = chunks(docs, text, known).persist(StorageLevel.DISK_ONLY)
     same = ["digest", "check", "n"]
     repeated = found.groupBy(same).agg(F.count("*").alias("times"), F.min(F.struct("_k", "_t", "start")).alias("first")).filter("times > 1")
     again = found.join(repeated, same).filter(F.struct("_k", "_t", "start") != F.col("first"))
     seed = F.struct("start", "n", F.col("first._k").alias("fk"), F.col("first._t").alias("ft"), F.col("first.start").alias("fs"))
     seeds = stored(again.groupBy("_k", "_t").agg(F.array_sort(F.collect_set(seed)).alias("_seeds")))
-    dropped(found)
+    found.unpersist()
     matches = stored(hulls_of(seeds))
     asked = bitmap(matches.select(F.explode(F.array("left", "right"))))
     # rows that are equal in id and text are one document

@@ -10,6 +10,7 @@ Rules that hold for all of them:
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,6 +65,16 @@ def entered(operator: str) -> None:
         _last[0] = operator
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def given_back() -> None:
+    """Return free memory to the system: a worker waits for its next task, or idle for a minute, and the allocators would keep what its kernels once took."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns of these names, in any letter case."""
     gone = {n.lower() for n in names}
@@ -83,9 +94,12 @@ def add_columns(df: DataFrame, fields: list[T.StructField], compute: Callable[[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entered(compute.__module__)
+        batch = made = None
         for batch in parts(batches, *texts) if texts else batches:
             made = compute(batch)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[a if isinstance(a, pa.Array) else pa.array(a, out.field(f.name).type) for a, f in zip(made, fields, strict=True)]], names=[*kept, *[f.name for f in fields]])
+        del batch, made
+        given_back()
 
     return df.mapInArrow(run, schema)
 
@@ -110,6 +124,7 @@ def map_batches(df: DataFrame, schema: str | T.StructType, run: Callable[[Iterat
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entered(run.__module__)
         yield from run(batches)
+        given_back()
 
     return df.mapInArrow(enter, schema)
 
